@@ -139,9 +139,12 @@ def mass_to_mg(value: Column, unit: Column) -> Column:
             .otherwise(value))
 
 
-def extract_dose(c: Column, drug: str) -> Column:
-    """Dose in mg after the drug name, else percent x 10 x volume, else NULL."""
-    t = clean_text(c)
+def extract_dose(c: Column, drug: str, ready: bool = False) -> Column:
+    """Dose in mg after the drug name, else percent x 10 x volume, else NULL.
+
+    ``ready`` says the text is already clean, so the rule is not repeated.
+    """
+    t = c if ready else clean_text(c)
     name = re.escape(drug)
     mass = FLAGS + name + r"\s*" + NUMBER + r"\s*(ug|mg|g)"
     value = F.regexp_extract(t, mass, 1).try_cast("double")
@@ -177,9 +180,9 @@ def plain_volume(t: Column) -> Column:
     return F.when(F.size(volumes) > 0, total)
 
 
-def extract_volume(c: Column, prefer_final: bool = True) -> Column:
+def extract_volume(c: Column, prefer_final: bool = True, ready: bool = False) -> Column:
     """Total volume: last hit of the last final-volume pattern that hits, else the sum."""
-    t = normalize_formula(c)
+    t = c if ready else normalize_formula(c)
     if not prefer_final:
         return plain_volume(t)
     finals = F.concat(*[all_groups(t, p, 1) for p in FINAL_VOLUME_PATTERNS])
@@ -187,9 +190,9 @@ def extract_volume(c: Column, prefer_final: bool = True) -> Column:
     return F.coalesce(final, plain_volume(t))
 
 
-def extract_block_dose(c: Column, drug_pattern: str) -> Column:
+def extract_block_dose(c: Column, drug_pattern: str, ready: bool = False) -> Column:
     """Sum of masses next to the drug, else of percent x volume, else of volumes."""
-    t = normalize_formula(c)
+    t = c if ready else normalize_formula(c)
     after = drug_pattern + r"\s*" + NUMBER + r"\s*(ug|mg|g)"
     before = NUMBER + r"\s*(ug|mg|g)\s*" + drug_pattern
 

@@ -15,32 +15,34 @@ from riskframe.operators.ordering import average_ranks
 
 
 def column_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(variable_1, variable_2, x, y) for every row and pair with both values.
+    """(i, j, x, y) for every row and pair with both values.
 
     Each row unfolds into its own pairs, so no join over rows is needed.  The
     number of pairs depends on the column list only.
     """
     cols = list(cols)
-    pairs = [F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"),
-                      F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in combinations(cols, 2)]
-    typed = df.select(*[scalars.to_double(F.col(f"`{c}`")).alias(c) for c in cols])
-    both = F.filter(F.array(*pairs), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    return typed.select(F.explode(both).alias("p")).select("p.*")
+    pairs = ", ".join(f"array({i}, {j})" for i, j in combinations(range(len(cols)), 2))
+    values = df.select(F.array(*[scalars.to_double(F.col(f"`{c}`")) for c in cols]).alias("v"))
+    both = values.select("v", F.expr(f"explode(array({pairs})) AS p")).select(
+        F.get("p", 0).alias("i"), F.get("p", 1).alias("j"),
+        F.get("v", F.get("p", 0)).alias("x"), F.get("v", F.get("p", 1)).alias("y"))
+    return both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
-def pair_frame(spark, cols: Sequence[str]) -> DataFrame:
-    """All pairs in column order, also those without a common row."""
-    return spark.createDataFrame(list(combinations(list(cols), 2)), "variable_1 string, variable_2 string")
+def with_names(stats: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Column names for the positions of a pair; pairs without rows are added."""
+    names = [(i, j, a, b) for (i, a), (j, b) in combinations(list(enumerate(cols)), 2)]
+    frame = stats.sparkSession.createDataFrame(names, "i int, j int, variable_1 string, variable_2 string")
+    return frame.join(stats, ["i", "j"], "left").drop("i", "j").withColumn("n_pairwise", F.coalesce("n_pairwise", F.lit(0)))
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """n and r per pair; r is NULL below 3 rows or with a constant side."""
     varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    stats = column_pairs(df, cols).groupBy("variable_1", "variable_2").agg(
+    stats = column_pairs(df, cols).groupBy("i", "j").agg(
         F.count(F.lit(1)).alias("n_pairwise"),
         F.when((F.count(F.lit(1)) >= 3) & varies, F.corr("x", "y")).alias("pearson_r"))
-    return (pair_frame(df.sparkSession, cols).join(stats, ["variable_1", "variable_2"], "left")
-            .withColumn("n_pairwise", F.coalesce("n_pairwise", F.lit(0))))
+    return with_names(stats, cols)
 
 
 def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -49,7 +51,7 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Rows are merged to (pair, x, y, count) first; ranks come from the distinct
     values of each side.  The mean rank is (n + 1) / 2 whatever the ties.
     """
-    pair = ["variable_1", "variable_2"]
+    pair = ["i", "j"]
     joint = column_pairs(df, cols).groupBy(*pair, "x", "y").agg(F.count(F.lit(1)).alias("n"))
     rank_of = lambda side: average_ranks(joint, pair, side, F.col("n"), f"_r{side}")
     ranked = (joint.join(rank_of("x").select(*pair, "x", "_rx", "total"), [*pair, "x"])
@@ -62,8 +64,7 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     r = F.when((F.col("n_pairwise") >= 3) & (F.col("_xx") > 0) & (F.col("_yy") > 0),
                F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy")))
     out = sums.select(*pair, "n_pairwise", r.alias("spearman_r"))
-    return (pair_frame(df.sparkSession, cols).join(out, pair, "left")
-            .withColumn("n_pairwise", F.coalesce("n_pairwise", F.lit(0))))
+    return with_names(out, cols)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

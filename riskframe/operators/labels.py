@@ -39,7 +39,12 @@ def one_hot_multi(df: DataFrame, col: str, min_count: int = 10, other: str = "
     if not keep:
         return df, []
     labels = F.col("_labels")
-    flags = {f"{col}_oh_{scalars.sanitize_text(k)}": F.array_contains(labels, k).cast("int") for k in keep}
+    flags: dict = {}
+    for k in keep:
+        name = f"{col}_oh_{scalars.sanitize_text(k)}"
+        twins = [n for n in flags if n.lower() == name.lower() and n != name]
+        # Spark's column names ignore case, so a label differing by case only is numbered
+        flags[f"{name}_{len(twins) + 1}" if twins else name] = F.array_contains(labels, k).cast("int")
     flags[f"{col}_oh_{other}"] = F.exists(labels, lambda x: ~x.isin(keep)).cast("int")
     out = df.withColumn("_labels", text.split_labels(F.col(col))).withColumns(flags).drop("_labels")
     return out, list(flags)

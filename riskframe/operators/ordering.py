@@ -96,9 +96,9 @@ def cut_in_hash_order(df: DataFrame, group: Sequence[str], ids: Sequence[str], s
 
 def value_bounds(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Up to 127 sorted boundary values per group, about equally many rows apart."""
-    probs = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
-    return df.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(value, probs, VALUE_BUCKETS * 8)).alias("_bounds"))
+    probs = ", ".join(f"{i / VALUE_BUCKETS}D" for i in range(1, VALUE_BUCKETS))
+    bounds = F.expr(f"array_distinct(percentile_approx(`{value}`, array({probs}), {VALUE_BUCKETS * 8}))")
+    return df.groupBy(*group).agg(bounds.alias("_bounds"))
 
 
 def value_bucket(v: Column, bounds: Column) -> Column:

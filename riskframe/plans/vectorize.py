@@ -36,7 +36,7 @@ def add_pump_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     cols: dict = {}
     for drug in c.PUMP_DRUGS:
         has = F.col(PUMP).contains(drug).cast("int")
-        dose = text.zero_when_absent(has, text.extract_dose(F.col(PUMP), drug))
+        dose = text.zero_when_absent(has, text.extract_dose(F.col(PUMP), drug, ready=True))
         if drug == "布托啡诺":
             dose = F.when(dose == 1000.0, 1.0).otherwise(dose)
         cols[f"{PUMP}_has_{drug}"], cols[f"{PUMP}_{drug}_mg"] = has, dose
@@ -62,11 +62,11 @@ def add_block_features(df: DataFrame, exclusive: bool = False) -> tuple[DataFram
     names, doses = [], []
     for t in kept:
         has, dose = f"{BLOCK}_has_{t.name}", f"{BLOCK}_{t.name}_dose"
-        df = df.withColumn(dose, text.zero_when_absent(F.col(has), text.extract_block_dose(F.col("_block"), t.pattern)))
+        df = df.withColumn(dose, text.zero_when_absent(F.col(has), text.extract_block_dose(F.col("_block"), t.pattern, ready=True)))
         names += [has, dose]
         doses.append(F.col(dose))
     totals = {f"{BLOCK}_总量": text.row_total(doses),
-              f"{BLOCK}_总体积_ml": F.coalesce(text.extract_volume(F.col("_block")), F.lit(0.0))}
+              f"{BLOCK}_总体积_ml": F.coalesce(text.extract_volume(F.col("_block"), ready=True), F.lit(0.0))}
     return df.withColumns(totals).drop("_block"), [*names, *totals]
 
 
