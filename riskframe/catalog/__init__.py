@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["profiles", "cleaning"]
+MODULES = ["profiles", "cleaning", "sampling", "modelling"]
 
 
 def load():
