@@ -358,3 +358,49 @@ def select_synthetic_fallback(spark, sf):
 def take_synthetic_regression(spark, sf):
     out = augment.take_synthetic_regression(_candidates(spark, sf), _scored_orders(spark, sf), "score", 45.0, 0.25, ["flag"])
     return out.select("row_id", "score", "flag", *_META_COLS)
+
+
+# --- neighbours -----------------------------------------------------------------------
+
+_NEAR = """WITH x AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS v, (label = 0)::INT AS y FROM embeddings),
+nn AS (SELECT * FROM (SELECT a.row_id, b.row_id AS other, b.y, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.v, b.v), b.row_id) AS rn
+  FROM x a JOIN x b ON a.row_id <> b.row_id WHERE a.y = 1) WHERE rn <= 10),
+dg AS (SELECT row_id, count(*) FILTER (WHERE y = 0) AS n_majority, count(*) FILTER (WHERE y = 0) >= 5 AND count(*) FILTER (WHERE y = 0) < 10 AS danger FROM nn GROUP BY 1)"""
+
+
+def _classes(spark, sf):
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"), (F.col("label") == 0).cast("int").alias("y"))
+
+
+@query(_NEAR + " SELECT * FROM dg")
+def danger_rows(spark, sf):
+    from riskframe.operators import neighbours
+    return neighbours.danger_rows(_classes(spark, sf), 10)
+
+
+def _unit(part: str) -> str:
+    return f"('0x' || substr(md5(g || '|42#{part}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(_NEAR + f""", d AS (SELECT row_id, row_number() OVER (ORDER BY md5(row_id || '|42#danger'), row_id) AS rn, count(*) OVER () AS nd FROM dg WHERE danger),
+mn AS (SELECT * FROM (SELECT a.row_id, b.row_id AS other, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.v, b.v), b.row_id) AS rn
+  FROM x a JOIN x b ON a.row_id <> b.row_id WHERE a.y = 1 AND b.y = 1) WHERE rn <= 5),
+g AS (SELECT unnest(range(0, (SELECT count(*) FILTER (WHERE y = 0) - count(*) FILTER (WHERE y = 1) FROM x))) AS g),
+pick AS (SELECT g, floor({_unit('row')} * (SELECT max(nd) FROM d)) + 1 AS rn, floor({_unit('to')} * 5) + 1 AS rk, {_unit('step')} AS step FROM g)
+SELECT g AS generated_id, d.row_id AS from_id, mn.other AS to_id, round(step, 6) AS step, round(a.v[1] + (b.v[1] - a.v[1]) * step, 6) AS f0
+FROM pick JOIN d USING (rn) JOIN mn ON mn.row_id = d.row_id AND mn.rn = rk JOIN x a ON a.row_id = d.row_id JOIN x b ON b.row_id = mn.other""")
+def borderline_smote(spark, sf):
+    from riskframe.operators import neighbours
+    out = neighbours.borderline_smote(_classes(spark, sf), 5, 10, SEED)
+    return rounded(out.select("generated_id", "from_id", "to_id", "step", F.get("features", 0).alias("f0")))
+
+
+@query()
+def borderline_smote_table(spark, sf):
+    """Generated rows in table form for one outcome of the user matrix."""
+    from riskframe.operators import neighbours
+    m = outcome_matrix(spark, sf).where(F.col("w1_view").isNotNull()).withColumn("y", (F.col("w1_view") >= 95).cast("int"))
+    features = [f"w0_{t}" for t in ("click", "view", "purchase", "signup", "error")]
+    out = neighbours.borderline_smote(neighbours.feature_array(m, features), 5, 10, SEED, "borderline-2")
+    return rounded(neighbours.smote_rows(out, [c for c in m.columns if c not in ("row_id", "y")], features, "w1_view", 95.0))
