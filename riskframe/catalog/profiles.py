@@ -187,7 +187,7 @@ ranked AS (SELECT variable_1, variable_2, x, y,
   rank() OVER (PARTITION BY variable_1, variable_2 ORDER BY y) + (count(*) OVER (PARTITION BY variable_1, variable_2, y) - 1) / 2.0 AS ry FROM both_),
 spear AS (SELECT variable_1, variable_2, count(*) AS n, CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(y) < max(y)
   THEN corr(rx, ry) END AS r FROM ranked GROUP BY 1, 2),
-rel AS (SELECT p.variable_1, p.variable_2, coalesce(q.n, 0) AS n, q.r AS pearson_r, s.r AS spearman_r,
+rel AS (SELECT p.variable_1, p.variable_2, coalesce(q.n, 0) AS n, q.r AS pearson_r, round(s.r, 9) AS spearman_r,
   CASE WHEN left(p.variable_1, 2) = left(p.variable_2, 2) THEN 'within_day'
        WHEN substr(p.variable_1, 4) = substr(p.variable_2, 4) THEN 'cross_day_same_outcome' ELSE 'cross_day_mixed_outcome' END AS relationship
   FROM pairs p LEFT JOIN pear q USING (variable_1, variable_2) LEFT JOIN spear s USING (variable_1, variable_2))"""
@@ -209,7 +209,7 @@ def _both(spark, sf):
     out = correlation.pearson_pairs(m, MATRIX).join(correlation.spearman_pairs(m, MATRIX).drop("n_pairwise"), pair)
     d1, m1 = correlation.split_name(F.col("variable_1"), WEEKS)
     d2, m2 = correlation.split_name(F.col("variable_2"), WEEKS)
-    return (out.withColumn("abs_spearman_r", F.abs("spearman_r"))
+    return (out.withColumn("spearman_r", F.round("spearman_r", 9)).withColumn("abs_spearman_r", F.abs("spearman_r"))
             .withColumn("relationship", correlation.relationship(d1, m1, d2, m2)))
 
 
@@ -257,6 +257,7 @@ def group_pair_strength(spark, sf):
     left = [f"{w}_{t}" for w in WEEKS for t in ("click", "view")]
     right = [c for c in MATRIX if c not in left]
     pairs = correlation.spearman_pairs(outcome_matrix(spark, sf), MATRIX)
+    pairs = pairs.withColumn("spearman_r", F.round("spearman_r", 9))
     return rounded(correlation.group_pairs(pairs, left, right).select(
         "variable_1", "variable_2", "spearman_r", strength_label(F.col("spearman_r")).alias("strength")))
 

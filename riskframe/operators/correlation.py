@@ -41,7 +41,8 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
     stats = column_pairs(df, cols).groupBy("i", "j").agg(
         F.count(F.lit(1)).alias("n_pairwise"),
-        F.when((F.count(F.lit(1)) >= 3) & varies, F.corr("x", "y")).alias("pearson_r"))
+        F.when((F.count(F.lit(1)) >= 3) & varies, F.try_divide(
+            F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y")))).alias("pearson_r"))
     return with_names(stats, cols)
 
 

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAD_CHARACTER = "\ufffd"
+PLAIN_CHARSETS = ("iso-8859-1", "us-ascii", "utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32")
 
 
 def _read_csv(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
+    if encoding.lower() not in PLAIN_CHARSETS:
+        # Spark reads the other charsets of the JVM only with this setting
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = spark.read.csv(path, header=True, encoding=encoding, multiLine=multi_line, escape='"', inferSchema=False)
     first = df.columns[0] if df.columns else ""
     return df.withColumnRenamed(first, first.lstrip("\ufeff")) if first.startswith("\ufeff") else df
