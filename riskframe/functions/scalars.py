@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 MISSING_TEXTS = ["", "nan", "NaN", "NONE", "None", "null"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a computed value several times but compute it once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Leading and trailing white space of any kind removed."""
     return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
@@ -20,7 +26,8 @@ def strip(c: Column) -> Column:
 def to_double(c: Column) -> Column:
     """Number or NULL: unparsable text, NaN and infinities become NULL."""
     v = c.try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    # one range test keeps NaN (which sorts above every number) and infinities out
+    return F.when(v.between(-1.7976931348623157e308, 1.7976931348623157e308), v)
 
 
 def number_prefix(c: Column) -> Column:
@@ -30,14 +37,13 @@ def number_prefix(c: Column) -> Column:
 
 def missing_to_null(c: Column) -> Column:
     """Trimmed text; the usual spellings of "missing" become NULL."""
-    t = strip(c)
-    return F.when(~t.isin(MISSING_TEXTS), t)
+    return let(strip(c), lambda t: F.when(~t.isin(MISSING_TEXTS), t))
 
 
 def token_to_int(c: Column, zero_tokens: list[str]) -> Column:
     """"none seen" tokens and anything unparsable count as 0."""
-    t = strip(c)
-    return F.coalesce(F.when(t.isin(zero_tokens), 0.0).otherwise(to_double(t)), F.lit(0.0)).cast("int")
+    number = let(strip(c), lambda t: F.when(t.isin(zero_tokens), 0.0).otherwise(to_double(t)))
+    return F.coalesce(number, F.lit(0.0)).cast("int")
 
 
 def binarize(c: Column, threshold: Column | float) -> Column:

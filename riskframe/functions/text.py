@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riskframe.functions.scalars import strip
+from riskframe.functions.scalars import let, strip
 
 FLAGS = "(?iUd)"
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
@@ -37,8 +37,7 @@ ROMAN_PREFIXES = [("VI", 6), ("V", 5), ("IV", 4), ("III", 3), ("II", 2), ("I", 1
 
 def clean_text(c: Column) -> Column:
     """Trimmed text; NULL and "nan" become empty."""
-    t = strip(c)
-    return F.coalesce(F.when(F.lower(t) != "nan", t), F.lit(""))
+    return F.coalesce(let(strip(c), lambda t: F.when(F.lower(t) != "nan", t)), F.lit(""))
 
 
 def sanitize_name(c: Column, fallback: str = "unknown") -> Column:
@@ -49,7 +48,12 @@ def sanitize_name(c: Column, fallback: str = "unknown") -> Column:
 
 
 def replace_all(c: Column, mapping: dict[str, str]) -> Column:
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), mapping.items(), c)
+    """Single characters in one pass, longer tokens one by one."""
+    single = {k: v for k, v in mapping.items() if len(k) == 1 and len(v) <= 1}
+    single = dict(sorted(single.items(), key=lambda kv: len(kv[1]), reverse=True))
+    out = F.translate(c, "".join(single), "".join(single.values())) if single else c
+    rest = [kv for kv in mapping.items() if kv[0] not in single]
+    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), rest, out)
 
 
 def has_any(c: Column, keywords: list[str]) -> Column:
@@ -82,23 +86,26 @@ def first_label(c: Column, rules: list[KeywordRule], default: str) -> Column:
 
 def classify_keywords(c: Column, rules: list[KeywordRule], default: str) -> Column:
     """Ordered keyword groups over the whole text; empty text gets the default."""
-    return first_label(clean_text(c), rules, default)
+    return let(clean_text(c), lambda t: first_label(t, rules, default))
 
 
 def parse_gender(c: Column) -> Column:
-    t = F.upper(clean_text(c))
-    return (F.when(t.isin("M", "MALE") | t.startswith("男"), 1)
-            .when(t.isin("F", "FEMALE") | t.startswith("女"), 0))
+    return let(F.upper(clean_text(c)), lambda t: F.when(t.isin("M", "MALE") | t.startswith("男"), 1)
+               .when(t.isin("F", "FEMALE") | t.startswith("女"), 0))
 
 
 def parse_grade(c: Column) -> Column:
     """Roman prefix (VI, V, IV, III, II, I in that order), else first digit 1-6."""
     t = F.upper(clean_text(c))
     t = strip(replace_all(replace_all(t, {n: "" for n in GRADE_NOISE}), ROMAN_FULL_WIDTH))
-    expr = F
-    for prefix, value in ROMAN_PREFIXES:
-        expr = expr.when(t.startswith(prefix), value)
-    return expr.otherwise(F.regexp_extract(t, "[1-6]", 0).try_cast("int"))
+
+    def first_prefix(x: Column) -> Column:
+        expr = F
+        for prefix, value in ROMAN_PREFIXES:
+            expr = expr.when(x.startswith(prefix), value)
+        return expr.otherwise(F.regexp_extract(x, "[1-6]", 0).try_cast("int"))
+
+    return let(t, first_prefix)
 
 
 def split_labels(c: Column) -> Column:
@@ -115,15 +122,17 @@ def classify_multi(c: Column, rules: list[KeywordRule], negations: list[str],
     Empty text or a negation word gives only ``absent``; bare roman fragments
     are skipped; a label no rule names, or a row left without any, is ``other``.
     """
-    t = clean_text(c)
-    labels = split_labels(c)
-    labels = F.when(F.size(labels) > 0, labels).otherwise(F.array(t))
-    lowered = F.transform(labels, lambda x: F.lower(x))
-    kept = F.filter(lowered, lambda x: ~x.rlike(r"^(i{1,3}|iv|v|vi|[ⅠⅡⅢⅣⅤⅥⅰⅱⅲⅳⅴⅵ]+|[12])$"))
-    classes = F.array_distinct(F.transform(kept, lambda x: first_label(x, rules, other)))
-    classes = F.when(F.size(classes) > 0, classes).otherwise(F.array(F.lit(other)))
-    absent_set = F.array(F.lit(absent))
-    return F.when((t == "") | has_any(t, negations), absent_set).otherwise(classes)
+
+
+    def classes_of(t: Column) -> Column:
+        labels = let(split_labels(t), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(t)))
+        kept = F.filter(F.transform(labels, lambda x: F.lower(x)), lambda x: ~x.rlike(
+            r"^(i{1,3}|iv|v|vi|[ⅠⅡⅢⅣⅤⅥⅰⅱⅲⅳⅴⅵ]+|[12])$"))
+        found = F.array_distinct(F.transform(kept, lambda x: first_label(x, rules, other)))
+        found = let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(other))))
+        return F.when((t == "") | has_any(t, negations), F.array(F.lit(absent))).otherwise(found)
+
+    return let(clean_text(c), classes_of)
 
 
 def normalize_formula(c: Column) -> Column:
@@ -144,78 +153,79 @@ def extract_dose(c: Column, drug: str, ready: bool = False) -> Column:
 
     ``ready`` says the text is already clean, so the rule is not repeated.
     """
-    t = c if ready else clean_text(c)
     name = re.escape(drug)
     mass = FLAGS + name + r"\s*" + NUMBER + r"\s*(ug|mg|g)"
-    value = F.regexp_extract(t, mass, 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(t, mass, 2))
-    by_mass = F.when(unit == "ug", value / 1000.0).when(unit == "g", value * 1000.0).otherwise(value)
+    unit = FLAGS + NUMBER + r"\s*(ug|mg|g)$"
+    percent_first = FLAGS + NUMBER + r"\s*%\s*" + name + r".*?" + NUMBER + r"\s*ml"
+    name_first = FLAGS + name + r"\s*" + NUMBER + r"\s*%\s*.*?" + NUMBER + r"\s*ml"
+
+    def mg(value: Column, u: Column) -> Column:
+        return F.when(u == "ug", value / 1000.0).when(u == "g", value * 1000.0).otherwise(value)
 
-    def by_percent(pattern: str) -> Column:
+    def by_percent(t: Column, pattern: str) -> Column:
         return (F.regexp_extract(t, pattern, 1).try_cast("double") * 10.0
                 * F.regexp_extract(t, pattern, 2).try_cast("double"))
 
-    return F.coalesce(
-        by_mass,
-        by_percent(FLAGS + NUMBER + r"\s*%\s*" + name + r".*?" + NUMBER + r"\s*ml"),
-        by_percent(FLAGS + name + r"\s*" + NUMBER + r"\s*%\s*.*?" + NUMBER + r"\s*ml"),
-    )
+    def dose(t: Column) -> Column:
+        # the short hit is taken apart instead of searching the text again
+        by_mass = let(F.regexp_extract(t, mass, 0), lambda hit: mg(
+            F.regexp_extract(hit, unit, 1).try_cast("double"), F.lower(F.regexp_extract(hit, unit, 2))))
+        return F.coalesce(by_mass, by_percent(t, percent_first), by_percent(t, name_first))
 
+    return dose(c) if ready else let(clean_text(c), dose)
 
-def all_groups(t: Column, pattern: str, group: int) -> Column:
+
+def hits(t: Column, pattern: str, group: int = 0) -> Column:
+    """All hits of a pattern in the text."""
     return F.regexp_extract_all(t, F.lit(FLAGS + pattern), F.lit(group))
 
 
-def sum_array(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+def sum_or_null(a: Column) -> Column:
+    """Sum of an array's numbers, NULL when it has none."""
+    total = lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v))
+    return let(F.filter(a, lambda v: v.isNotNull()), total)
+
+
+def part(hit: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(hit, FLAGS + pattern, group)
 
 
 def plain_volume(t: Column) -> Column:
     """Sum of "v ml" in a normalised text; rates are ignored, "each/side" doubles."""
-    pattern = r"(各\s*)?" + NUMBER + r"\s*ml(?!\s*/\s*h)(\s*/\s*侧)?"
-    volumes = F.transform(all_groups(t, pattern, 2), lambda v: v.cast("double"))
-    doubled = F.zip_with(all_groups(t, pattern, 1), all_groups(t, pattern, 3),
-                         lambda a, b: F.when((a != "") | (b != ""), 2.0).otherwise(1.0))
-    total = sum_array(F.zip_with(volumes, doubled, lambda v, m: v * m))
-    return F.when(F.size(volumes) > 0, total)
+    found = hits(t, r"(各\s*)?" + NUMBER + r"\s*ml(?!\s*/\s*h)(\s*/\s*侧)?")
+    return sum_or_null(F.transform(found, lambda h: part(h, NUMBER).cast("double") * F.when(
+        h.startswith("各") | h.endswith("侧"), 2.0).otherwise(1.0)))
 
 
 def extract_volume(c: Column, prefer_final: bool = True, ready: bool = False) -> Column:
     """Total volume: last hit of the last final-volume pattern that hits, else the sum."""
+
+    def final_or_sum(t: Column) -> Column:
+        finals = F.concat(*[hits(t, p, 1) for p in FINAL_VOLUME_PATTERNS])
+        return F.coalesce(let(finals, lambda a: F.get(a, F.size(a) - 1)).try_cast("double"), plain_volume(t))
+
     t = c if ready else normalize_formula(c)
-    if not prefer_final:
-        return plain_volume(t)
-    finals = F.concat(*[all_groups(t, p, 1) for p in FINAL_VOLUME_PATTERNS])
-    final = F.get(finals, F.size(finals) - 1).try_cast("double")
-    return F.coalesce(final, plain_volume(t))
+    return let(t, final_or_sum if prefer_final else plain_volume)
 
 
 def extract_block_dose(c: Column, drug_pattern: str, ready: bool = False) -> Column:
     """Sum of masses next to the drug, else of percent x volume, else of volumes."""
-    t = c if ready else normalize_formula(c)
-    after = drug_pattern + r"\s*" + NUMBER + r"\s*(ug|mg|g)"
-    before = NUMBER + r"\s*(ug|mg|g)\s*" + drug_pattern
-
-    def masses(pattern: str) -> Column:
-        return F.zip_with(all_groups(t, pattern, 1), all_groups(t, pattern, 2),
-                          lambda v, u: mass_to_mg(v.cast("double"), u))
+    mass = NUMBER + r"\s*(ug|mg|g)"
 
-    found_mass = F.concat(masses(after), masses(before))
-    by_mass = F.when(F.size(found_mass) > 0, sum_array(found_mass))
+    def masses(t: Column, pattern: str, inner: str) -> Column:
+        return F.transform(hits(t, pattern), lambda h: mass_to_mg(part(h, inner, 1).cast("double"), part(h, inner, 2)))
 
-    def percents(pattern: str) -> Column:
-        return F.zip_with(all_groups(t, pattern, 1), all_groups(t, pattern, 0),
-                          lambda p, m: p.cast("double") * 10.0 * plain_volume(m))
+    def percents(t: Column, pattern: str) -> Column:
+        return F.transform(hits(t, pattern), lambda h: part(h, NUMBER + r"\s*%").cast("double") * 10.0 * plain_volume(h))
 
-    found_pct = F.concat(percents(NUMBER + r"\s*%\s*" + drug_pattern + r"[^+;,，；]*"),
-                         percents(drug_pattern + r"\s*" + NUMBER + r"\s*%[^+;,，；]*"))
-    found_pct = F.filter(found_pct, lambda x: x.isNotNull())
-    by_pct = F.when(F.size(found_pct) > 0, sum_array(found_pct))
+    def dose(t: Column) -> Column:
+        by_mass = F.concat(masses(t, drug_pattern + r"\s*" + mass, mass + "$"), masses(t, mass + r"\s*" + drug_pattern, "^" + mass))
+        by_percent = F.concat(percents(t, NUMBER + r"\s*%\s*" + drug_pattern + r"[^+;,，；]*"),
+                              percents(t, drug_pattern + r"\s*" + NUMBER + r"\s*%[^+;,，；]*"))
+        segments = F.filter(F.split(t, r"[+;,，；]"), lambda x: x.rlike(FLAGS + drug_pattern))
+        return F.coalesce(sum_or_null(by_mass), sum_or_null(by_percent), sum_or_null(F.transform(segments, plain_volume)))
 
-    segments = F.filter(F.split(t, r"[+;,，；]"), lambda s: s.rlike(FLAGS + drug_pattern))
-    found_vol = F.filter(F.transform(segments, plain_volume), lambda x: x.isNotNull())
-    by_vol = F.when(F.size(found_vol) > 0, sum_array(found_vol))
-    return F.coalesce(by_mass, by_pct, by_vol)
+    return dose(c) if ready else let(normalize_formula(c), dose)
 
 
 def zero_when_absent(has: Column, dose: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.scalars import shift_clip
-from riskframe.operators.ordering import bucket_by_value, cut_in_hash_order, running_totals
+from riskframe.operators.ordering import bucket_by_value, cut_in_hash_order, replicate, running_totals
 from riskframe.operators.profile import duplicates_per_parent, lineage_counts
 from riskframe.operators.schema import META_PREFIX, align_union, round_binary_columns
 
@@ -89,10 +89,9 @@ def jitter_candidates(df: DataFrame, spec: AugmentSpec, seed: int, id_col: str =
     md5(parent | variant | seed): an array of each row, so nothing is shuffled.
     """
     variants = jitter_variants(spec)
-    grid = F.array(*[F.struct(
-        F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(name), F.lit(str(seed)))).alias("h"),
-        F.lit(s).alias("s"), F.lit(a).alias("a"), F.lit(w).alias("w"), F.lit(rule).alias("rule"),
-        F.lit(name).alias("name")) for s, a, w, rule, name in variants])
+    grid = F.expr("array(" + ", ".join(
+        f"named_struct('h', md5(concat_ws('|', CAST(`{id_col}` AS STRING), '{name}', '{seed}')), 's', {s}, 'a', {a}, 'w', {w}, "
+        f"'rule', '{rule}', 'name', '{name}')" for s, a, w, rule, name in variants) + ")")
     chosen = trigger_rows(df, spec).withColumn(
         "_v", F.explode(F.slice(F.array_sort(grid), 1, min(spec.keep, len(variants)))))
     out = _generated(chosen, spec, dict.fromkeys(spec.scores, F.col("_v.s")), F.col("_v.a"), F.col("_v.w"))
@@ -175,7 +174,7 @@ def copy_control(train: DataFrame, reference_generated: DataFrame, validate: boo
     rest = [c for c in train.columns if c != PARENT]
     tie = F.xxhash64(*rest) if "row_id" not in rest else F.col("row_id")
     once = train.groupBy(PARENT).agg(F.min_by(F.struct(*rest), tie).alias("_r")).select(PARENT, "_r.*")
-    copies = once.join(counts, PARENT).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    copies = replicate(once.join(counts, PARENT), "_n", "_i", [PARENT])
     return copies.withColumns({
         IS_GENERATED: F.lit(1), SPLIT: F.lit("train"), RULE: F.lit("direct_duplicate"),
         TRIGGER: F.lit("matched_reference_augmentation_count"), SCORE_SHIFT: F.lit(0), AGE_DELTA: F.lit(0),

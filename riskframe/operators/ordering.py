@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKET_DIGITS = 4  # 65,536 buckets per group
-VALUE_BUCKETS = 128
-SEARCH_STEPS = [64, 32, 16, 8, 4, 2, 1]  # binary search over < VALUE_BUCKETS boundaries
+VALUE_BUCKETS = 512
+SEARCH_STEPS = [256, 128, 64, 32, 16, 8, 4, 2, 1]  # binary search over < VALUE_BUCKETS boundaries
+EXPLODE_BLOCK = 65_536
 
 
 def hash_order(ids: Sequence[str], seed: int | str) -> Column:
@@ -40,31 +41,52 @@ def _with_group(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[st
     return df.withColumn("_g", F.lit(0)), ["_g"]
 
 
+def few(df: DataFrame, few_groups: bool) -> DataFrame:
+    """Broadcast a table with one row per group when the groups are few.
+
+    Groups are columns, pairs of columns, targets, classes or salts: their
+    number is set by the column list, not by the data.  Callers that group by
+    data values pass ``few_groups=False`` and get an ordinary join.
+    """
+    return F.broadcast(df) if few_groups else df
+
+
+def replicate(df: DataFrame, times: str, index: str, keys: Sequence[str]) -> DataFrame:
+    """Copy every row ``times`` times, numbered from 1.
+
+    Copies are made in blocks that are spread first, so a row with very many
+    copies neither fills one array nor one task.
+    """
+    last = F.floor((F.col(times) - 1) / EXPLODE_BLOCK)
+    blocks = df.where(F.col(times) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    blocks = blocks.repartition(*keys, "_block")
+    first = F.col("_block") * EXPLODE_BLOCK + 1
+    return blocks.withColumn(index, F.explode(F.sequence(
+        first, F.least(first + EXPLODE_BLOCK - 1, F.col(times).cast("long"))))).drop("_block")
+
+
 def bucket_starts(counts: DataFrame, group: list[str], bucket: Sequence[str | Column],
                   sums: Sequence[str]) -> DataFrame:
     """Add ``{s}_before`` and ``{s}_total`` to a table of bucket sums."""
     before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    out = counts
-    for s in sums:
-        out = out.withColumn(f"{s}_before", F.coalesce(F.sum(s).over(before), F.lit(0)))
-        out = out.withColumn(f"{s}_total", F.sum(s).over(whole))
-    return out
+    return counts.withColumns({
+        **{f"{s}_before": F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums},
+        **{f"{s}_total": F.sum(s).over(whole) for s in sums}})
 
 
 def cut_in_hash_order(df: DataFrame, group: Sequence[str], ids: Sequence[str], seed: int | str,
-                      cuts: dict[str, Callable[[Column], Column]], total: str | None = None) -> DataFrame:
+                      cuts: dict[str, Callable[[Column], Column]], total: str | None = None,
+                      few_groups: bool = True) -> DataFrame:
     """Flag the first k rows of every group in seeded hash order.
 
     ``cuts`` maps a new boolean column to a function of the group's row count
     that gives k.  Only one hash value per (group, cut) travels to the rows, so
-    wide rows are never shuffled.  ``group`` must have few distinct values (a
-    target, a class): the cut table is broadcast.
+    wide rows are not shuffled when the groups are few (see ``few``).
     """
     df, g = _with_group(df, group)
-    hashed = df.withColumn("_h", hash_order(ids, seed))
-    key = F.concat_ws("|", "_h", *[F.col(c).cast("string") for c in ids])
-    hashed = hashed.withColumn("_key", key).withColumn("_b", F.substring("_h", 1, HASH_BUCKET_DIGITS))
+    key = F.concat_ws("|", hash_order(ids, seed), *[F.col(c).cast("string") for c in ids])
+    hashed = df.withColumn("_key", key).withColumn("_b", F.substring("_key", 1, HASH_BUCKET_DIGITS))
     keys = hashed.select(*g, "_key", "_b")
 
     counts = keys.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("n"))
@@ -79,7 +101,7 @@ def cut_in_hash_order(df: DataFrame, group: Sequence[str], ids: Sequence[str], s
     wanted = wanted.where((F.col("k") > F.col("n_before")) & (F.col("k") <= F.col("n_before") + F.col("n")))
 
     inside = Window.partitionBy(*g, "cut").orderBy("_key")
-    marks = (keys.join(F.broadcast(wanted), [*g, "_b"])
+    marks = (keys.join(few(wanted, few_groups), [*g, "_b"])
              .withColumn("_r", F.row_number().over(inside) + F.col("n_before"))
              .where(F.col("_r") == F.col("k"))
              .groupBy(*g)
@@ -87,10 +109,9 @@ def cut_in_hash_order(df: DataFrame, group: Sequence[str], ids: Sequence[str], s
     if total:
         sizes = starts.groupBy(*g).agg(F.max("n_total").alias(total))
         marks = sizes.join(marks, g, "left")
-    out = hashed.join(F.broadcast(marks), g, "left")
-    for i, c in enumerate(names):
-        out = out.withColumn(c, F.coalesce(F.col("_key") <= F.col(f"_mark{i}"), F.lit(False)))
-    drop = ["_h", "_key", "_b", *[f"_mark{i}" for i in range(len(names))]]
+    out = hashed.join(few(marks, few_groups), g, "left")
+    out = out.withColumns({c: F.coalesce(F.col("_key") <= F.col(f"_mark{i}"), F.lit(False)) for i, c in enumerate(names)})
+    drop = ["_key", "_b", *[f"_mark{i}" for i in range(len(names))]]
     return out.drop(*drop, *([] if group else ["_g"]))
 
 
@@ -101,20 +122,21 @@ def value_bounds(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*group).agg(bounds.alias("_bounds"))
 
 
-def value_bucket(v: Column, bounds: Column) -> Column:
-    """Number of boundaries below the value (binary search)."""
-    below = F.aggregate(
-        F.array(*[F.lit(s) for s in SEARCH_STEPS]), F.lit(0),
-        lambda pos, step: F.when(F.get(bounds, pos + step - 1) < v, pos + step).otherwise(pos))
-    return F.coalesce(below, F.lit(0))
-
+def bucket_by_value(df: DataFrame, group: Sequence[str], value: str, bucket: str = "_b",
+                    few_groups: bool = True) -> DataFrame:
+    """Add the value bucket to a table of distinct values per group.
 
-def bucket_by_value(df: DataFrame, group: Sequence[str], value: str, bucket: str = "_b") -> DataFrame:
-    """Add the value bucket to a table of distinct values per group.  The boundary table has one row per group: groups
-    are variables, targets or pairs of them, so it is broadcast."""
+    The bucket is the number of boundaries below the value: a binary search
+    whose steps refer to each other, which stays inside generated code.  The boundary
+    table has one row per group, see ``few``.
+    """
     bounds = value_bounds(df.where(F.col(value).isNotNull()), group, value)
-    return (df.join(F.broadcast(bounds), list(group))
-            .withColumn(bucket, value_bucket(F.col(value), F.col("_bounds"))).drop("_bounds"))
+    steps, at = [], "0"
+    for i, step in enumerate(SEARCH_STEPS):
+        steps.append(f"{at} + CASE WHEN get(_bounds, {at} + {step - 1}) < `{value}` THEN {step} ELSE 0 END AS _s{i}")
+        at = f"_s{i}"
+    out = df.join(few(bounds, few_groups), list(group)).selectExpr("*", *steps).withColumnRenamed(at, bucket)
+    return out.drop("_bounds", *[f"_s{i}" for i in range(len(SEARCH_STEPS) - 1)])
 
 
 def running_totals(df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[str | Column],
@@ -129,17 +151,13 @@ def running_totals(df: DataFrame, group: Sequence[str], bucket: Sequence[str], o
     parts = df.groupBy(*g, *bucket).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     starts = bucket_starts(parts, g, bucket, list(sums)).drop(*sums)
     w = Window.partitionBy(*g, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    for n, e in sums.items():
-        out = out.withColumn(n, F.sum(e).over(w))
-    out = out.join(starts, [*g, *bucket])
-    for n in sums:
-        out = out.withColumn(n, F.col(n) + F.col(f"{n}_before")).drop(f"{n}_before")
+    out = df.withColumns({n: F.sum(e).over(w) for n, e in sums.items()}).join(starts, [*g, *bucket])
+    out = out.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in sums}).drop(*[f"{n}_before" for n in sums])
     return out if group else out.drop("_g")
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
-                    out: str = "quantiles") -> DataFrame:
+                    out: str = "quantiles", few_groups: bool = True) -> DataFrame:
     """Linear-interpolated exact quantiles of the non-NULL values, as an array.
 
     Equal values are merged first (map side), so a hot value is one row.  Bucket
@@ -148,7 +166,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequ
     """
     df, g = _with_group(df.where(F.col(value).isNotNull()), group)
     distinct = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_n"))
-    keyed = bucket_by_value(distinct, g, value)
+    keyed = bucket_by_value(distinct, g, value, few_groups=few_groups)
     counts = keyed.groupBy(*g, "_b").agg(F.sum("_n").alias("n"))
     starts = bucket_starts(counts, g, ["_b"], ["n"])
     ends: Callable[[Column], Column] = lambda r: (r >= F.col("n_before")) & (r < F.col("n_before") + F.col("n"))
@@ -160,7 +178,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequ
     per_bucket = wanted.groupBy(*g, "_b").agg(
         F.max("n_before").alias("n_before"), F.collect_list(F.struct("_i", "_lo", "_hi", "_frac")).alias("_want"))
     w = Window.partitionBy(*g, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (keyed.join(F.broadcast(per_bucket), [*g, "_b"])
+    ranked = (keyed.join(few(per_bucket, few_groups), [*g, "_b"])
               .withColumn("_end", F.sum("_n").over(w))
               .withColumn("_end", F.col("_end") + F.col("n_before"))
               .withColumn("_start", F.col("_end") - F.col("_n"))

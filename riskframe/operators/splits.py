@@ -86,11 +86,10 @@ def shared_split(long: DataFrame, seed: int, ratios: Sequence[float] = (0.8, 0.1
         last = min(first + batch, max_tries)
         tried = shared_cut(rows.withColumn("_salt", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))),
                            seed, ratios)
-        ok = tried.groupBy("_salt").pivot("split", ["train", "validation", "test"]).agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("_positive")))).alias("seen"))
-        full = [F.size(F.array_except(F.array(*[F.lit(t) for t in needed]), F.col(p))) == 0
-                for p in ("train", "validation", "test")] if needed else [F.lit(True)]
-        passed = ok.where(sum([f.cast("int") for f in full], F.lit(0)) == len(full)).agg(F.min("_salt")).first()[0]
+        seen = (tried.select("_salt", "split", F.explode("_positive").alias("target")).where(F.col("target").isin(needed))
+                .groupBy("_salt", "split", "target").agg(F.count(F.lit(1)).alias("n")))
+        covered = seen.groupBy("_salt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 3 * len(needed))
+        passed = covered.agg(F.min("_salt")).first()[0] if needed else first
         if passed is not None:
             chosen = shared_cut(rows.withColumn("_salt", F.lit(passed)), seed, ratios)
             return chosen.select("row_id", F.lit(SHARED_TARGET).alias("target"),
@@ -200,11 +199,13 @@ def balanced_training_pool(train: DataFrame, seed: int, id_col: str = "row_id",
     counts.
     """
     is_gen = F.coalesce(F.col(generated), F.lit(0)) == 1
-    parents = train.where(is_gen).select(F.coalesce(F.col(parent), F.lit(-1)).alias(parent)).distinct()
-    keyed = train.withColumn("_parent", F.coalesce(F.col(parent), F.lit(-1)))
-    tagged = keyed.join(parents.select(F.col(parent).alias("_parent"), F.lit(True).alias("_has")), "_parent", "left")
-    side = F.when(is_gen | F.col("_has"), "augmented").otherwise("untouched")
-    tagged = tagged.withColumn("_side", side)
+    made, originals = train.where(is_gen), train.where(~is_gen)
+    # only originals look up their children: generated rows may all share one parent id
+    parents = made.select(F.coalesce(F.col(parent), F.lit(-1)).alias("_parent")).distinct().withColumn("_has", F.lit(True))
+    looked_up = originals.withColumn("_parent", F.coalesce(F.col(parent), F.lit(-1))).join(parents, "_parent", "left")
+    side = F.when(F.col("_has"), "augmented").otherwise("untouched")
+    tagged = looked_up.withColumn("_side", side).drop("_parent", "_has").unionByName(
+        made.withColumn("_side", F.lit("augmented")))
     sizes = tagged.groupBy("_side").count().collect()
     n = {"untouched": 0, "augmented": 0, **{r["_side"]: r["count"] for r in sizes}}
     limit = min(n.values()) or max(n.values())

@@ -12,22 +12,37 @@ from riskframe.presets import clinical as c
 PUMP, BLOCK = "镇痛泵配方", "阻滞镇痛用药"
 
 
-def clean_raw(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Prune columns, parse dates and numbers, fill and correct."""
+def parse_columns(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Prune columns, parse dates and numbers: narrow work only."""
     df = schema.drop_columns(df, c.DROP_NAMES, c.DROP_CONTAINS)
     df = schema.prune_sparse_columns(df, 0.7, [*c.REQUIRED, row_id])
     df = schema.drop_columns(df, c.DROP_AFTER_PRUNING)
     parts = dates.date_parts(dates.parse_mixed_date(F.col("手术日期")))
     df = df.withColumns({"手术月份": parts["month"], "手术星期": parts["weekday"], "手术日期": parts["iso"]})
-    df = df.withColumns({x: scalars.token_to_int(F.col(x), c.ZERO_TOKENS) for x in c.ZERO_TOKEN_COLUMNS if x in df.columns})
-    df = df.withColumns({x: scalars.number_prefix(F.col(x)) for x in c.NUMERIC if x in df.columns})
+    return df.withColumns({
+        **{x: scalars.token_to_int(F.col(x), c.ZERO_TOKENS) for x in c.ZERO_TOKEN_COLUMNS if x in df.columns},
+        **{x: scalars.number_prefix(F.col(x)) for x in c.NUMERIC if x in df.columns}})
+
+
+def fill_weight(df: DataFrame) -> DataFrame:
+    """Median weight, then the record whose age and weight were swapped."""
+    if "体重" not in df.columns:
+        return df
+    df = impute.fill_median(df, ["体重"])
+    if "年龄" not in df.columns:
+        return df
+    return impute.correct_records(df, [((F.col("年龄") == 77) & (F.col("体重") == 8), {"体重": 77.0, "年龄": 59.0})])
+
+
+def fill_calendar(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Forward fill of date, year, month and weekday."""
     filled = [x for x in ("手术日期", "年份", "手术月份", "手术星期") if x in df.columns]
-    df = impute.forward_fill(df, filled, row_id)
-    if "体重" in df.columns:
-        df = impute.fill_median(df, ["体重"])
-        if "年龄" in df.columns:
-            df = impute.correct_records(df, [((F.col("年龄") == 77) & (F.col("体重") == 8), {"体重": 77.0, "年龄": 59.0})])
-    return df
+    return impute.forward_fill(df, filled, row_id)
+
+
+def clean_raw(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """The cleaned table with its raw texts, before any feature is derived."""
+    return fill_calendar(fill_weight(parse_columns(df, row_id)), row_id)
 
 
 def add_pump_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -71,8 +86,12 @@ def add_block_features(df: DataFrame, exclusive: bool = False) -> tuple[DataFram
 
 
 def vectorize_table(df: DataFrame, min_count: int = 10, exclusive: bool = False, row_id: str = "row_id") -> DataFrame:
-    """Feature table with the row id in front."""
-    df = clean_raw(df, row_id)
+    """Feature table with the row id in front.
+
+    The aggregates that decide the columns run on the narrow part of the plan;
+    the one shuffle, for the forward fill, comes last and moves numbers only.
+    """
+    df = fill_weight(parse_columns(df, row_id))
     out = [row_id]
     if "性别" in df.columns:
         df = df.withColumn("性别_num", text.parse_gender(F.col("性别")).cast("double"))
@@ -100,4 +119,4 @@ def vectorize_table(df: DataFrame, min_count: int = 10, exclusive: bool = False,
     df, names = add_block_features(df, exclusive)
     out += names + [x for x in (*c.CONTEXT, *c.OUTCOMES) if x in df.columns]
     wide = df.select(*[F.col(f"`{x}`") for x in dict.fromkeys(out) if x not in c.DROP_CONSTANT])
-    return impute.fill_default(wide, c.DEFAULTS)
+    return fill_calendar(impute.fill_default(wide, c.DEFAULTS), row_id)
