@@ -32,7 +32,7 @@ def to_double(c: Column) -> Column:
 
 def number_prefix(c: Column) -> Column:
     """Leading signed decimal of the trimmed text, else NULL."""
-    return F.regexp_extract(strip(c), r"^(-?\d+(\.\d+)?)", 1).try_cast("double")
+    return F.regexp_extract(c.cast("string"), r"(?U)^\s*(-?\d+(\.\d+)?)", 1).try_cast("double")
 
 
 def missing_to_null(c: Column) -> Column:

@@ -170,7 +170,8 @@ def extract_dose(c: Column, drug: str, ready: bool = False) -> Column:
         # the short hit is taken apart instead of searching the text again
         by_mass = let(F.regexp_extract(t, mass, 0), lambda hit: mg(
             F.regexp_extract(hit, unit, 1).try_cast("double"), F.lower(F.regexp_extract(hit, unit, 2))))
-        return F.coalesce(by_mass, by_percent(t, percent_first), by_percent(t, name_first))
+        any_dose = F.coalesce(by_mass, by_percent(t, percent_first), by_percent(t, name_first))
+        return F.when(F.lower(t).contains(drug.lower()), any_dose)
 
     return dose(c) if ready else let(clean_text(c), dose)
 
@@ -223,7 +224,8 @@ def extract_block_dose(c: Column, drug_pattern: str, ready: bool = False) -> Col
         by_percent = F.concat(percents(t, NUMBER + r"\s*%\s*" + drug_pattern + r"[^+;,，；]*"),
                               percents(t, drug_pattern + r"\s*" + NUMBER + r"\s*%[^+;,，；]*"))
         segments = F.filter(F.split(t, r"[+;,，；]"), lambda x: x.rlike(FLAGS + drug_pattern))
-        return F.coalesce(sum_or_null(by_mass), sum_or_null(by_percent), sum_or_null(F.transform(segments, plain_volume)))
+        any_dose = F.coalesce(sum_or_null(by_mass), sum_or_null(by_percent), sum_or_null(F.transform(segments, plain_volume)))
+        return F.when(t.rlike(FLAGS + drug_pattern), any_dose)
 
     return dose(c) if ready else let(normalize_formula(c), dose)
 
