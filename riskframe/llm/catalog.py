@@ -67,14 +67,14 @@ _verdict = " AND ".join(f"{m} {op} {b}" for m, lo, hi in quality_rules.RULES for
 
 @query(rf"""
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws,
-                    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+                    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 grams AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM cut)),
 again AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
 repeats AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM again, range(0, 8) r(o) GROUP BY doc_id),
 counted AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-                   len(list_filter(ws, x -> lower(x) IN ({_stops}))) AS stops, len(ls) AS n_lines
+                   len(list_filter(ws, lambda x: lower(x) IN ({_stops}))) AS stops, len(ls) AS n_lines
             FROM cut LEFT JOIN repeats r USING (doc_id)),
 metrics AS (SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbols_per_word,
                    stops / greatest(n_words, 1) AS stop_word_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
