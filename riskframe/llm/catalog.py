@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import mixing, quality_rules, sharding, token_counts
+from riskframe.llm import decontaminate, mixing, quality, quality_rules, sharding, token_counts, toxicity
 from riskframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,35 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf, "documents"))
 
 
+@query()
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(len(ws), 10) AS l, array_to_string(ws[i:i + 9], ' ') AS gram
+         FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+grams AS (SELECT doc_id, i, l, array_to_string(ws[i:i + l - 1], ' ') AS gram
+          FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM wins))),
+hits AS (SELECT doc_id, i, l, item_id FROM grams JOIN wins USING (l, gram)),
+per AS (SELECT doc_id, count(DISTINCT i + o) FILTER (o < l) AS n_hit FROM hits, range(0, 10) r(o) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("_h")
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
 @query()
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     cut = sharding.shard(table(spark, sf, "documents"))
