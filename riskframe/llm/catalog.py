@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, mixing, quality, quality_rules, sharding, token_counts, toxicity
+from riskframe.llm import decontaminate, jaccard_join, mixing, quality, quality_rules, sharding, token_counts, toxicity
 from riskframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        mean_word_chars, symbols_per_word, stop_word_ratio, dup_line_ratio FROM metrics""")
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf, "documents"))
+
+
+@query(r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+          JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS to_id FROM w UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.to_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, c) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(to_id) AS c FROM reach GROUP BY doc_id) USING (doc_id)""")
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf, "documents")).drop("_h")
