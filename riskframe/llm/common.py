@@ -34,9 +34,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        t.stored_at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(t.stored_at, True)
+
+
+def only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``keys`` (distinct, stored); no shuffle if a count shows that they are few."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, "left_semi")
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

@@ -5,10 +5,12 @@ D = (|r| + |s|) / 7 shingles.  By size band, the universe of shingles is hashed
 segments agree with a partner's in at least m - D segments.
 
 Allocation by cost: with m somewhat larger than D + 1, a set can leave out its costliest segments.  Both sides order their
-segments alike, large subsets first (they are rare), empty ones last, and index the first D + 1 of them: two sets that agree
-in m - D of m segments then share an indexed one.  A set that would have to index an empty segment (possible by chance in
-small sets) indexes single shingles in addition, where it meets the other such sets.  Pairs that differ in at most one
-shingle need a single segment: sets of up to 7 shingles index themselves and their one-deletion neighbourhoods.
+segments alike, large subsets first (they are rare), empty ones last, and index the first D + k of them, k being 1/14 of the
+set: two sets that agree in m - D of m segments then share k indexed ones.  So a set with fewer than k shared ones has no
+partner and is dropped before anything is compared; a passage shared by many texts is not enough to keep them.  A set that
+would have to index an empty segment (possible by chance in small sets) indexes single shingles in addition, where it meets
+the other such sets.  Pairs that differ in at most one shingle need a single segment: sets of up to 7 shingles index
+themselves and their one-deletion neighbourhoods.
 
 Candidates are verified on the whole sets.  In a segment group, first every set is compared with the group's first set
 only; linked sets are joined to components; then just those pairs of a group are compared whose components still differ.
@@ -33,12 +35,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import BROADCAST_ROWS, attach, stored
+from riskframe.llm.common import BROADCAST_ROWS, attach, discard, only, stored
 from riskframe.llm.components import components
 
 WIDTH = 5
 FIRST_BAND, WHOLE_UPTO = 6, 7
-SEGMENT_SHARE = 0.36  # segments per shingle of the band's largest set; D is at most 2/7 of it
+SEGMENT_SHARE = 0.42  # segments per shingle of the band's largest set; D is at most 2/7 of it
+SHARED_PART = 14  # of its shingles, so many index tokens are shared with a partner
 HASHED_WORDS = 500_000  # words whose hashes a task keeps
 ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier of the rolling hash
 
@@ -82,6 +85,11 @@ def band_of(n: int) -> int:
     return (n // FIRST_BAND).bit_length() - 1
 
 
+def least_shared(n: int) -> int:
+    """Index tokens that a set of n shingles shares at least with a partner that is no smaller."""
+    return max(1, n // SHARED_PART)
+
+
 def index_tokens(found: np.ndarray) -> np.ndarray:
     """What a set is indexed under."""
     n = len(found)
@@ -97,7 +105,7 @@ def index_tokens(found: np.ndarray) -> np.ndarray:
             partner = min(largest, 4 * n // 3)
             if partner < FIRST_BAND * 2**b:
                 continue  # no partner so large
-            need = (n + partner) // 7 + 1
+            need = (n + partner) // 7 + least_shared(n)
             m = int(SEGMENT_SHARE * largest) + 2
             segment = (mixed % np.uint64(m)).astype(np.int64)
             order = np.argsort(segment, kind="stable")
@@ -106,7 +114,7 @@ def index_tokens(found: np.ndarray) -> np.ndarray:
             out.append(subsets[np.lexsort((subsets, -sizes))[:need]])
             poor |= need > len(places)
         if poor:
-            out.append(np.sort(scramble(found ^ ODD))[: n - -(-3 * n // 4) + 1])
+            out.append(np.sort(scramble(found ^ ODD))[: n - -(-3 * n // 4) + least_shared(n)])
     return scramble(np.concatenate(out) ^ np.uint64(n <= 2)) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -156,7 +164,7 @@ def index_rows(docs: DataFrame) -> DataFrame:
 
 
 def shared_tokens(index: DataFrame) -> DataFrame:
-    """(token, set, first) of the tokens that two different sets have; first is the token's smallest set.
+    """(token, set) of the tokens that two different sets have.
 
     Tokens come as sorted runs; what is held is one batch and the state of the run that reaches into the next.
     """
@@ -172,30 +180,44 @@ def shared_tokens(index: DataFrame) -> DataFrame:
             begins = np.append(True, t[1:] != t[:-1])
             firsts = s[np.maximum.accumulate(np.where(begins, np.arange(len(t)), 0))]
             again = np.append(False, (t[1:] == t[:-1]) & (s[1:] == s[:-1]))
-            lead = 0
             if t[0] == token:  # the run of the batch before goes on
-                lead = int(np.argmin(np.append(t == token, False)))
-                firsts[:lead] = first
+                firsts[: int(np.argmin(np.append(t == token, False)))] = first
                 again[0] = s[0] == last
             later = ~again & (s != firsts)
-            out_t, out_s, out_f = [t[later]], [s[later]], [firsts[later]]
             # the first set of each run that has a second one
-            heads = np.unique(np.stack([t[later], firsts[later]]), axis=1) if later.any() else np.zeros((2, 0), dtype=np.int64)
+            heads = np.unique(np.stack([t[later], firsts[later]]), axis=1)
             if token is not None and told:
                 heads = heads[:, heads[0] != token]
             told = bool(later[t == t[-1]].any()) or (told and t[-1] == token)
-            out_t.append(heads[0]), out_s.append(heads[1]), out_f.append(heads[1])
             token, first, last = t[-1], firsts[-1], s[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_t, out_s, out_f)], names=["token", "set", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(t[later], heads[0])), pa.array(np.append(s[later], heads[1]))], names=["token", "set"])
 
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = index.repartition(parts, "token").sortWithinPartitions("token", "set")
-    return ordered.mapInArrow(run, "token long, set long, first long")
+    return ordered.mapInArrow(run, "token long, set long")
+
+
+def with_partners(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, set, n) without the sets that share too few tokens."""
+    sizes = sets.where("set is not null").groupBy("set").agg(F.max("n_shingles").alias("n"))
+    counts = shared.groupBy("set").agg(F.count(F.lit(1)).alias("shared"))
+    least = F.greatest(F.floor(F.floor(F.col("n") * 3 / 4) / SHARED_PART), F.lit(1))  # a partner has three quarters of the shingles or more
+    keep = stored(counts.join(sizes, "set").where(F.col("shared") >= least).select("set", "n"), "keep")
+    return attach(shared, keep, ["set"])
+
+
+def first_pairs(shared: DataFrame) -> DataFrame:
+    """(u, v): each set with one first set of its tokens, that of the most tokens among those of fitting size."""
+    first = shared.groupBy("token").agg(F.min(F.struct("set", "n")).alias("_f"), F.max("set").alias("_last")).where("_f.set <> _last")
+    met = shared.join(first, "token").where(F.col("set") != F.col("_f.set"))
+    fits = 4 * F.least("n", "_f.n") >= 3 * F.greatest("n", "_f.n")
+    counts = met.where(fits).groupBy(F.col("set").alias("v"), F.col("_f.set").alias("u")).agg(F.count(F.lit(1)).alias("_k"))
+    return counts.groupBy("v").agg(F.max(F.struct("_k", "u")).alias("_best")).select(F.col("_best.u").alias("u"), "v")
 
 
 def shingle_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, found): the shingles of the wanted sets, each from one document."""
-    places = sets.join(wanted, "set").groupBy("set").agg(F.min(F.struct("doc_id", "_h")).alias("_d")).select("set", F.col("_d.doc_id").alias("_id"), F.col("_d._h").alias("_k"))
+    """(set, n, small, found) of the wanted sets, each from one document: the shingles, and their distinct last 16 bits."""
+    places = only(sets, wanted, "set").groupBy("set").agg(F.min(F.struct("doc_id", "_h")).alias("_d")).select("set", F.col("_d.doc_id").alias("_id"), F.col("_d._h").alias("_k"))
     places = stored(places, "places")
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.col("text").cast("binary").alias("text"))
     right = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
@@ -207,35 +229,50 @@ def shingle_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFra
         hashes = WordHashes()
         for batch in batches:
             found = [shingles(t.as_py(), hashes).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["set", "found"])
+            small = [np.unique(f.astype(np.int16)) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array(small, pa.list_(pa.int16())),
+                                              pa.array(found, pa.list_(pa.int64()))], names=["set", "n", "small", "found"])
 
-    return rows.mapInArrow(run, "set long, found array<long>").dropDuplicates(["set"])
+    return rows.mapInArrow(run, "set long, n int, small array<short>, found array<long>")
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) with a Jaccard similarity of 3/4 or more."""
-    left = pairs.join(sets.select(F.col("set").alias("v"), F.col("found").alias("_b")), "v")
-    both = left.join(sets.select(F.col("set").alias("u"), F.col("found").alias("_a")), "u")
-    size = F.size("_a") + F.size("_b")
-    return both.where(F.size(F.array_intersect("_a", "_b")) * 7 >= size * 3).select("u", "v")
+    """The pairs (u, v) with a Jaccard similarity of 3/4 or more.
+
+    The last 16 bits of the shingles bound the intersection from above; only pairs that pass get their whole sets compared.
+    """
+
+    def met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"_n{x}"), F.col(column).alias(f"_{x}"))
+        return pairs.join(side("v"), "v").join(side("u"), "u").withColumn("_both", F.size(F.array_intersect("_u", "_v")))
+
+    enough = lambda common: common * 7 >= (F.col("_nu") + F.col("_nv")) * 3
+    lost = F.least(F.col("_nu") - F.size("_u"), F.col("_nv") - F.size("_v"))  # shingles that share their last bits within a set
+    close = stored(met(pairs, sets, "small").where(enough(F.col("_both") + lost)).select("u", "v"), "close")
+    near = stored(close.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "near")
+    return met(close, only(sets, near, "set"), "found").where(enough(F.col("_both"))).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; ``_h`` tells equal doc_ids apart."""
     sets = stored(with_sets(docs), "sets")
-    shared = stored(shared_tokens(index_rows(docs)), "shared")
-    first = stored(shared.where("first <> set").select(F.col("first").alias("u"), F.col("set").alias("v")).distinct(), "pairs")
-    wanted = shared.select("set").distinct()
-    found = stored(shingle_sets(docs, sets, wanted), "shingles")
+    tokens = stored(shared_tokens(index_rows(docs)), "tokens")
+    shared = stored(with_partners(tokens, sets), "shared")
+    discard(tokens)
+    first = stored(first_pairs(shared), "pairs")
+    found = stored(shingle_sets(docs, sets, stored(shared.select("set").distinct(), "wanted")), "shingles")
     linked = stored(links(first, found), "links")
-    roots = components(linked)
+    roots = stored(components(linked), "roots")
 
-    at = shared.select("token", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    at = stored(at, "rooted")
+    at = attach(shared, roots.withColumnRenamed("node", "set"), ["set"], "left").withColumn("root", F.coalesce("root", "set"))
     mixed = at.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("token")
     open_ = stored(at.join(mixed, "token"), "open")
-    a, b = open_.select("token", F.col("set").alias("u"), F.col("root").alias("_ru")), open_.select("token", F.col("set").alias("v"), F.col("root").alias("_rv"))
-    rest = a.join(b, "token").where("u < v and _ru <> _rv").select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
+    a = open_.select("token", F.col("set").alias("u"), F.col("root").alias("_ru"), F.col("n").alias("_nu"))
+    b = open_.select("token", F.col("set").alias("v"), F.col("root").alias("_rv"), F.col("n").alias("_nv"))
+    fits = (F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & (4 * F.least("_nu", "_nv") >= 3 * F.greatest("_nu", "_nv"))
+    counted = a.join(b, "token").where(fits).groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min(F.least("_nu", "_nv")).alias("_n"))
+    enough = F.col("_shared") >= F.greatest(F.floor(F.col("_n") / SHARED_PART), F.lit(1))
+    rest = counted.where(enough).select("u", "v").join(first, ["u", "v"], "left_anti")
     more = links(stored(rest, "pairs"), found)
     roots = stored(components(linked.unionByName(more)), "roots")
 
