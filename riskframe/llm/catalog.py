@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, jaccard_join, mixing, quality, quality_rules, sharding, token_counts, toxicity
+from riskframe.llm import decontaminate, jaccard_join, mixing, quality, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 from riskframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
 
 
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf, "documents"))
+
+
 @query(rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
 b AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM benchmark),
@@ -71,6 +76,19 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("_h")
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+grams AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+late AS (SELECT doc_id, i FROM grams QUALIFY doc_id > min(doc_id) OVER (PARTITION BY gram)),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM late, range(0, 50) r(o)),
+kept AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS s, count(*) AS n
+         FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d) w ANTI JOIN gone g USING (doc_id, i) GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf, "documents"))
+
+
 @query()
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
