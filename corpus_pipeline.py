@@ -1,10 +1,84 @@
-"""placeholder until all stages exist"""
-STAGES = []
-ORACLE_SQL = None
+"""Corpus pipeline: quality, near duplicates, benchmark passages, source mix, shards.
 
+Each stage takes the documents that its predecessor kept and returns documents with the same columns, the last one a row
+per document with its shard.  Decisions travel to the texts as short tables: the rows to drop are broadcast when a count
+shows that they are few, else joined.  Equal doc_ids are told apart by a hash of the text; null doc_ids and texts stay
+documents like others; empty tables pass through.
+"""
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskframe.llm import decontaminate, jaccard_join, mixing, quality, sharding
+from riskframe.llm.common import BROADCAST_ROWS, stored, table
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents that are not among ``gone`` (doc_id, _h)."""
+    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k")).distinct(), "gone")
+    right = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(right, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest doc_id; documents without words stay."""
+    rows = stored(jaccard_join.near_duplicates(docs), "near").where("n_shingles > 0")
+    id_last = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_h")
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("_h")).alias("h"))
+    first = rows.groupBy(group.alias("_g")).agg(F.min(id_last).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = stored(first.select(F.col("_g.component_id").alias("_c"), F.col("_g.h").alias("_ch"), F.col("_first.doc_id").alias("_fid"), F.col("_first._h").alias("_fh")), "firsts")
+    right = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    in_group = F.col("component_id").eqNullSafe(F.col("_c")) & (F.col("_c").isNotNull() | (F.col("_h") == F.col("_ch")))
+    later = rows.join(right, in_group).where(~(F.col("doc_id").eqNullSafe(F.col("_fid")) & (F.col("_h") == F.col("_fh"))))
+    kept = _without(docs, later)
+    twice = stored(rows.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "twice")
+    if twice.isEmpty():
+        return kept
+    again = kept.withColumn("_h", F.xxhash64("text")).join(twice.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi")
+    return _without(kept, twice).unionByName(again.dropDuplicates(["doc_id", "_h"]).drop("_h"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark windows."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as many times (0 to 2) as the mix takes its words, to the nearest whole number."""
+    keys = ["doc_id", "source", "size"]
+    taken = mixing.taken_words(docs).groupBy(*keys).agg((F.sum("taken") / F.sum("size")).alias("_times")).where("size > 0")
+    copies = taken.select(*[F.col(k).alias(f"_{k}") for k in keys], F.floor(F.col("_times") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    sized = docs.withColumn("size_", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
+    same = sized["doc_id"].eqNullSafe(F.col("_doc_id")) & sized["source"].eqNullSafe(F.col("_source")) & (sized["size_"] == F.col("_size"))
+    out = sized.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*docs.columns)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every document of the mix."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
+ORACLE_SQL = None  # a trained classifier is no SQL; tests compare the stages with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

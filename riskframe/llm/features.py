@@ -96,3 +96,18 @@ def scored(docs: DataFrame, scorer: Callable[[], Callable[[str], tuple[float, ..
                 [batch.column(0), *[pa.array([f[i] for f in found], pa.float64()) for i in range(len(columns))]], names=["doc_id", *columns])
 
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{c} double" for c in columns]]))
+
+
+def passing(docs: DataFrame, scorer: Callable[[], Callable[[str], tuple[float, ...]]], least: float) -> DataFrame:
+    """The rows, with all their columns, whose first score is ``least`` or more."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        score = scorer()
+        for batch in batches:
+            text = batch.column(at)
+            yield batch.filter(pa.array([score(t.as_py() or "")[0] >= least for t in text], pa.bool_()))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)

@@ -74,8 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.
     return features.fit(features.featurised(sample, text_features), train_shard, 2**features.BITS + 1)
 
 
-def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+def _scorer(weights: np.ndarray):
     packed = weights.astype(np.float32)
 
     def scorer():
@@ -108,5 +107,15 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
 
         return run
 
-    out = features.scored(docs, scorer, ["score"])
+    return scorer
+
+
+def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    out = features.scored(docs, _scorer(weights), ["score"])
     return out.select("doc_id", features.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all columns, whose score is ``threshold`` or more."""
+    return features.passing(docs, _scorer(weights), threshold)
