@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import BROADCAST_ROWS, stored
 
 PIECE = 1 << 22  # windows looked at together
-MOST_BYTES = 200_000  # of the distinct bodies of an anchor that meet in one task
+MOST_BYTES = 800_000  # of the distinct bodies of an anchor that meet in one task, which holds some 300 bytes for each
 SEEN = 500_000  # bodies a task remembers as sent
 PLACE = np.uint64(0xFFFFFF)
 NONE = -(2**63)
