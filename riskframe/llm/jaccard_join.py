@@ -207,12 +207,20 @@ def with_partners(shared: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def first_pairs(shared: DataFrame) -> DataFrame:
-    """(u, v): each set with one first set of its tokens, that of the most tokens among those of fitting size."""
-    first = shared.groupBy("token").agg(F.min(F.struct("set", "n")).alias("_f"), F.max("set").alias("_last")).where("_f.set <> _last")
-    met = shared.join(first, "token").where(F.col("set") != F.col("_f.set"))
+    """(u, v): each set v with the hub of one of its tokens, of fitting size and with most tokens in common.
+
+    A token's hub is the set whose tokens have most sets together: in a group of copies of one text that is the text, which
+    the copies resemble more than one another.
+    """
+    sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("_k"))
+    weights = shared.join(sizes, "token").groupBy("set").agg(F.sum("_k").alias("_w"), F.max("n").alias("_n"))
+    weighted = attach(shared, stored(weights, "weights").select("set", "_w"), ["set"])
+    hub = weighted.groupBy("token").agg(F.max(F.struct("_w", "set", "n")).alias("_f"), F.min("set").alias("_a"), F.max("set").alias("_b")).where("_a <> _b")
+    met = shared.join(hub, "token").where(F.col("set") != F.col("_f.set"))
     fits = 4 * F.least("n", "_f.n") >= 3 * F.greatest("n", "_f.n")
     counts = met.where(fits).groupBy(F.col("set").alias("v"), F.col("_f.set").alias("u")).agg(F.count(F.lit(1)).alias("_k"))
-    return counts.groupBy("v").agg(F.max(F.struct("_k", "u")).alias("_best")).select(F.col("_best.u").alias("u"), "v")
+    best = counts.groupBy("v").agg(F.max(F.struct("_k", "u")).alias("_best"))
+    return best.select(F.least("_best.u", "v").alias("u"), F.greatest("_best.u", "v").alias("v")).distinct()
 
 
 def shingle_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
