@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.scalars import let
 from riskframe.llm.common import stored
 
 WINDOW = 10
@@ -60,13 +61,14 @@ def window_hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW) -> Dat
     rarest = stored(rarest, "windows")
     tokens = [r[0] for r in rarest.select("token").distinct().collect()]
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), words_of(F.col("text")).alias("_w"))
-    found = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(tokens), F.struct(i.alias("i"), w.alias("token")))), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", "_h", "_w", found.alias("_found")).where(F.size("_found") > 0)
-    around = F.transform("_found", lambda x: F.struct(
-        x["i"].alias("i"), x["token"].alias("token"), F.least(x["i"], F.lit(width - 1)).alias("back"),
-        F.slice("_w", F.greatest(x["i"] - (width - 1), F.lit(0)) + 1, 2 * width - 1).alias("near")))
-    near = rows.select("doc_id", "_h", around.alias("_a")).select("doc_id", "_h", F.explode("_a").alias("_a")).select("doc_id", "_h", "_a.*")
+    def around(words: Column) -> Column:
+        found = F.filter(F.transform(words, lambda w, i: F.when(w.isin(tokens), F.struct(i.alias("i"), w.alias("token")))), lambda x: x.isNotNull())
+        near = lambda i: F.transform(F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.least(i + width, F.size(words)) - 1), lambda j: F.get(words, j))
+        return F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["token"].alias("token"), F.least(x["i"], F.lit(width - 1)).alias("back"), near(x["i"]).alias("near")))
+
+    # the words are bound once per row: as a plain column they would be cut anew for every hit
+    hits = F.explode(let(words_of(F.col("text")), around))
+    near = docs.select("doc_id", F.xxhash64("text").alias("_h"), hits.alias("_a")).select("doc_id", "_h", "_a.*")
     at = F.col("back") - F.col("offset")
     fits = (at >= 0) & (at + F.size("window") <= F.size("near"))
     exact = near.join(F.broadcast(rarest), "token").where(fits).where(F.slice("near", F.greatest(at, F.lit(0)) + 1, F.size("window")) == F.col("window"))

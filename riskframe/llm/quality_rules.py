@@ -40,8 +40,8 @@ RULES: list[tuple[str, float | None, float | None]] = [
 def words_in_repeats(words: Column, width: int = WINDOW) -> Column:
     """Words that lie in a ``width``-word window found twice or more, the first included."""
     starts = F.sequence(F.lit(0), F.size(words) - width)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, width)))
-    windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i + 1, width), " ").alias("w"), i.alias("i"))))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+    windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *[F.get(words, i + k) for k in range(width)]).alias("w"), i.alias("i"))))
     again: Column = lambda s, j: ((F.get(s, j)["w"] == F.get(s, j - 1)["w"]) | (F.get(s, j)["w"] == F.get(s, j + 1)["w"]))
     hit = let(windows, lambda s: F.array_sort(F.transform(
         F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: F.coalesce(again(s, j), F.lit(False))), lambda j: F.get(s, j)["i"])))
