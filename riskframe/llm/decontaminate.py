@@ -1,8 +1,9 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
-An item's windows are sets of WINDOW consecutive words that must be contained whole, so one token is a sufficient prefix:
-the window's rarest word over all documents.  Documents are scanned for these prefix tokens only; a hit at position i
-whose token stands at offset o in a window is a candidate that starts at i - o.  The positional bound (start not before
+An item's windows are runs of WINDOW consecutive words that must be contained whole, so one shingle is a sufficient prefix:
+the two neighbouring words of the window that are rarest, by the product of their document counts over all documents.
+Documents are scanned for these prefix shingles only; a hit at position i whose shingle stands at offset o in a window is
+a candidate that starts at i - o.  The positional bound (start not before
 the text) and the length bound (window ends inside it) are applied, then the window's words are compared one by one.
 
 Scale: texts are never shuffled or copied per word: token hits are found inside the row by a hash-set test, and only hits
@@ -41,6 +42,11 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def shingle(first: Column, second: Column) -> Column:
+    """Hash of two neighbouring words, or of a word alone; equality of the words is checked later."""
+    return F.xxhash64(first, F.coalesce(second, F.lit("")))
+
+
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """Distinct (item_id, window): all runs of ``width`` words, the whole item if it has fewer."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("_w")).where(F.size("_w") > 0)
@@ -55,23 +61,30 @@ def window_hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW) -> Dat
     seen = words.select(F.explode(F.array_distinct(F.filter("_w", lambda w: w.isin(vocabulary)))).alias("w"))
     counts = windows.sparkSession.createDataFrame([(w, 0) for w in vocabulary], "w string, n long").unionByName(
         seen.groupBy("w").agg(F.count(F.lit(1)).alias("n"))).groupBy("w").agg(F.sum("n").alias("n"))
-    placed = windows.select("item_id", "window", F.posexplode("window").alias("offset", "w"))
-    rarest = (placed.join(F.broadcast(counts), "w").groupBy("item_id", "window")
-              .agg(F.min(F.struct("n", "w", "offset")).alias("_r")).select("item_id", "window", F.col("_r.w").alias("token"), F.col("_r.offset").alias("offset")))
+    placed = windows.select("item_id", "window", F.posexplode("window").alias("offset", "w")).withColumn("w2", F.get("window", F.col("offset") + 1))
+    placed = placed.where(F.col("w2").isNotNull() | (F.size("window") == 1))
+    second = counts.select(F.col("w").alias("w2"), F.col("n").alias("n2"))
+    rare = (F.col("n") * F.coalesce("n2", F.lit(1))).alias("n")
+    rarest = (placed.join(F.broadcast(counts), "w").join(F.broadcast(second), "w2", "left").groupBy("item_id", "window")
+              .agg(F.min(F.struct(rare, "w", "w2", "offset")).alias("_r"))
+              .select("item_id", "window", F.col("_r.w").alias("token"), shingle(F.col("_r.w"), F.col("_r.w2")).alias("shingle"), F.col("_r.offset").alias("offset")))
     rarest = stored(rarest, "windows")
     tokens = [r[0] for r in rarest.select("token").distinct().collect()]
+    pairs = [r[0] for r in rarest.select("shingle").distinct().collect()]
 
     def around(words: Column) -> Column:
-        found = F.filter(F.transform(words, lambda w, i: F.when(w.isin(tokens), F.struct(i.alias("i"), w.alias("token")))), lambda x: x.isNotNull())
+        starts = F.filter(F.transform(words, lambda w, i: F.when(w.isin(tokens), i)), lambda i: i.isNotNull())
+        both = lambda i: F.array(shingle(F.get(words, i), F.get(words, i + 1)), shingle(F.get(words, i), F.lit(None).cast("string")))
+        found = F.filter(F.flatten(F.transform(starts, lambda i: F.transform(both(i), lambda s: F.struct(i.alias("i"), s.alias("shingle"))))), lambda x: x["shingle"].isin(pairs))
         near = lambda i: F.transform(F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.least(i + width, F.size(words)) - 1), lambda j: F.get(words, j))
-        return F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["token"].alias("token"), F.least(x["i"], F.lit(width - 1)).alias("back"), near(x["i"]).alias("near")))
+        return F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["shingle"].alias("shingle"), F.least(x["i"], F.lit(width - 1)).alias("back"), near(x["i"]).alias("near")))
 
     # the words are bound once per row: as a plain column they would be cut anew for every hit
     hits = F.explode(let(words_of(F.col("text")), around))
     near = docs.select("doc_id", F.xxhash64("text").alias("_h"), hits.alias("_a")).select("doc_id", "_h", "_a.*")
     at = F.col("back") - F.col("offset")
     fits = (at >= 0) & (at + F.size("window") <= F.size("near"))
-    exact = near.join(F.broadcast(rarest), "token").where(fits).where(F.slice("near", F.greatest(at, F.lit(0)) + 1, F.size("window")) == F.col("window"))
+    exact = near.join(F.broadcast(rarest), "shingle").where(fits).where(F.slice("near", F.greatest(at, F.lit(0)) + 1, F.size("window")) == F.col("window"))
     return exact.select("doc_id", "_h", (F.col("i") - F.col("offset")).alias("start"), F.size("window").alias("length"), "item_id")
 
 

@@ -72,7 +72,7 @@ def screened(rows: list) -> list[tuple[int, np.ndarray, np.ndarray]]:
 def train_shard(rows: list) -> dict[int, float]:
     size = 2**features.BITS
     model = features.Ftrl(size, rate=0.3, l1=0.1, l2=0.05)
-    cuts, sigmoid = np.array([1.0, 2.0, 3.0]), lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+    cuts, sigmoid = np.array([2.5, 3.5, 4.5]), lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
     rows = screened(rows)
     for _ in range(EPOCHS):
         for y, at, value in rows:
