@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import decontaminate, jaccard_join, mixing, quality, sharding
-from riskframe.llm.common import BROADCAST_ROWS, stored, table
+from riskframe.llm.common import BROADCAST_ROWS, n_words, stored, table
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = ["doc_id", "source", "size"]
     taken = mixing.taken_words(docs).groupBy(*keys).agg((F.sum("taken") / F.sum("size")).alias("_times")).where("size > 0")
     copies = taken.select(*[F.col(k).alias(f"_{k}") for k in keys], F.floor(F.col("_times") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    sized = docs.withColumn("size_", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
+    sized = docs.withColumn("size_", n_words(F.col("text")))
     same = sized["doc_id"].eqNullSafe(F.col("_doc_id")) & sized["source"].eqNullSafe(F.col("_source")) & (sized["size_"] == F.col("_size"))
     out = sized.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*docs.columns)

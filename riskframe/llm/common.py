@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskframe.session import shared_folder
 
-WORD = r"[^\x20\x09-\x0D]+"  # fixed value of the query contracts
+BETWEEN = r"[\x20\x09-\x0D]+"  # fixed value of the query contracts: what is in no word
 BROADCAST_ROWS = 100_000  # a table is broadcast only after it was counted and has no more rows
 SALTS = 32
 
@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    """Array of the words of a text; a null text has none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Array of the words of a text; a null text has none.  Cutting between words is several times faster than matching them."""
+    return F.coalesce(F.array_remove(F.split(text, BETWEEN), ""), F.array().cast("array<string>"))
+
+
+def n_words(text: Column) -> Column:
+    return F.size(words_of(text)).cast("long")
 
 
 def text_key(text: Column) -> Column:

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import WORD, attach, globally_ordered, stored
+from riskframe.llm.common import attach, globally_ordered, n_words, stored
 from riskframe.operators import ordering
 
 WEIGHTS = (3, 1, 2)
@@ -33,7 +33,7 @@ RUN_BITS = 16  # slots are ranked in runs of 2^RUN_BITS
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
