@@ -3,8 +3,8 @@
 An item's windows are runs of WINDOW consecutive words that must be contained whole, so one shingle is a sufficient prefix:
 the two neighbouring words of the window that are rarest, by the product of their document counts over all documents.
 Documents are scanned for these prefix shingles only; a hit at position i whose shingle stands at offset o in a window is
-a candidate that starts at i - o.  The positional bound (start not before
-the text) and the length bound (window ends inside it) are applied, then the window's words are compared one by one.
+a candidate that starts at i - o.  The positional bound (start not before the text) and the length bound (window ends
+inside it) are applied, then the window's words are compared one by one.
 
 Scale: texts are never shuffled or copied per word: token hits are found inside the row by a hash-set test, and only hits
 with the few words around them leave it.  Benchmarks are taken in blocks of about BLOCK windows, so what is broadcast is
@@ -27,9 +27,7 @@ from riskframe.llm.common import stored
 
 WINDOW = 10
 BLOCK = 20_000
-# Fixed values of the query contract: word characters, and both cases of A-Z in the unchanged text.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # fixed value of the query contract: what is in no word, in either case of A-Z
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,7 +37,8 @@ def lowered(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Words of a text as it stands; cutting between words is several times faster than matching them."""
+    return F.coalesce(F.array_remove(F.split(text, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def shingle(first: Column, second: Column) -> Column:
@@ -49,7 +48,7 @@ def shingle(first: Column, second: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """Distinct (item_id, window): all runs of ``width`` words, the whole item if it has fewer."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    items = benchmark.select("item_id", words_of(lowered(F.col("text"))).alias("_w")).where(F.size("_w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - width + 1, F.lit(1)))
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("_w", i, width))).alias("window")).distinct()
 
@@ -57,7 +56,7 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 def window_hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, _h, start, length, item_id) for one block of windows."""
     vocabulary = [r[0] for r in windows.select(F.explode("window").alias("w")).distinct().collect()]  # bounded by the block
-    words = docs.select(words_of(F.col("text")).alias("_w"))
+    words = docs.select(words_of(lowered(F.col("text"))).alias("_w"))
     seen = words.select(F.explode(F.array_distinct(F.filter("_w", lambda w: w.isin(vocabulary)))).alias("w"))
     counts = windows.sparkSession.createDataFrame([(w, 0) for w in vocabulary], "w string, n long").unionByName(
         seen.groupBy("w").agg(F.count(F.lit(1)).alias("n"))).groupBy("w").agg(F.sum("n").alias("n"))
@@ -80,7 +79,7 @@ def window_hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW) -> Dat
         return F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["shingle"].alias("shingle"), F.least(x["i"], F.lit(width - 1)).alias("back"), near(x["i"]).alias("near")))
 
     # the words are bound once per row: as a plain column they would be cut anew for every hit
-    hits = F.explode(let(words_of(F.col("text")), around))
+    hits = F.explode(let(words_of(lowered(F.col("text"))), around))
     near = docs.select("doc_id", F.xxhash64("text").alias("_h"), hits.alias("_a")).select("doc_id", "_h", "_a.*")
     at = F.col("back") - F.col("offset")
     fits = (at >= 0) & (at + F.size("window") <= F.size("near"))
@@ -98,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_k")).agg(
         F.size(F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1))))).cast("long").alias("n_hit"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = base.join(per, base["doc_id"].eqNullSafe(per["_id"]) & (base["_h"] == per["_k"]), "left")
     items = F.coalesce("_items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
