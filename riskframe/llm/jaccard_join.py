@@ -13,7 +13,8 @@ the other such sets.  Pairs that differ in at most one shingle need a single seg
 themselves and their one-deletion neighbourhoods.
 
 Candidates are verified on the whole sets.  In a segment group, first every set is compared with the group's first set
-only; linked sets are joined to components; then just those pairs of a group are compared whose components still differ.
+only; linked sets are joined to components; then just those pairs of a group are compared whose components still differ and
+whose shingles that are in any other such set are enough for a link.
 So copies are never expanded into pairs and no link between components is lost.
 
 Scale: a set stands for all documents with that set, and each task indexes it once, so thousands of copies meet as one
@@ -261,6 +262,19 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met(close, only(sets, near, "set"), "found").where(enough(F.col("_both"))).select("u", "v")
 
 
+def without_loners(open_: DataFrame, found: DataFrame) -> DataFrame:
+    """``open_`` with ``c``, the number of a set's shingles that other open sets have too; sets with too small a ``c`` go.
+
+    A shingle of a single set is in no intersection, so two sets share at most the smaller ``c`` and link only if
+    7 c >= 3 (|r| + |s|); a partner has c shingles at least, so a set with 4 c < 3 n has none.
+    """
+    own = only(found, stored(open_.select("set").distinct(), "opened"), "set").select("set", F.explode("found").alias("_s"))
+    alone = own.groupBy("_s").agg(F.max("set").alias("set"), F.count(F.lit(1)).alias("_k")).where("_k = 1")
+    alone = stored(alone.groupBy("set").agg(F.count(F.lit(1)).alias("_alone")), "alone")
+    counted = attach(open_, alone, ["set"], "left").withColumn("c", F.col("n") - F.coalesce("_alone", F.lit(0)))
+    return counted.where(4 * F.col("c") >= 3 * F.col("n")).drop("_alone")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; ``_h`` tells equal doc_ids apart."""
     sets = stored(with_sets(docs), "sets")
@@ -274,10 +288,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     at = attach(shared, roots.withColumnRenamed("node", "set"), ["set"], "left").withColumn("root", F.coalesce("root", "set"))
     mixed = at.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("token")
-    open_ = stored(at.join(mixed, "token"), "open")
-    a = open_.select("token", F.col("set").alias("u"), F.col("root").alias("_ru"), F.col("n").alias("_nu"))
-    b = open_.select("token", F.col("set").alias("v"), F.col("root").alias("_rv"), F.col("n").alias("_nv"))
+    open_ = stored(without_loners(stored(at.join(mixed, "token"), "open"), found), "open")
+    a = open_.select("token", F.col("set").alias("u"), F.col("root").alias("_ru"), F.col("n").alias("_nu"), F.col("c").alias("_cu"))
+    b = open_.select("token", F.col("set").alias("v"), F.col("root").alias("_rv"), F.col("n").alias("_nv"), F.col("c").alias("_cv"))
     fits = (F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & (4 * F.least("_nu", "_nv") >= 3 * F.greatest("_nu", "_nv"))
+    fits = fits & (7 * F.least("_cu", "_cv") >= 3 * (F.col("_nu") + F.col("_nv")))
     counted = a.join(b, "token").where(fits).groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min(F.least("_nu", "_nv")).alias("_n"))
     enough = F.col("_shared") >= F.greatest(F.floor(F.col("_n") / SHARED_PART), F.lit(1))
     rest = counted.where(enough).select("u", "v").join(first, ["u", "v"], "left_anti")
