@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,55 +56,53 @@ def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     return df.where(scalars.to_double(F.col(f"`{target}`")).isNotNull())
 
 
-def day_index(column: str, prefixes: Sequence[str]) -> int | None:
-    """Position of the day prefix in time order, None for undated columns."""
-    return next((i for i, p in enumerate(prefixes) if column.startswith(f"{p}_")), None)
+class Named(NamedTuple):
+    """What a column's name says: position of its day in time order, outcome or not, provenance or not."""
 
+    name: str
+    day: int | None
+    outcome: bool
+    provenance: bool
 
-def temporal_filter(columns: Sequence[str], target: str, prefixes: Sequence[str], strict_past_only: bool = True,
-                    manual: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
-    """Kept and dropped features: dated columns must lie before the target's day."""
-    if target not in columns:
-        raise ValueError(f"target column not found: {target}")
-    missing = [c for c in manual or [] if c not in columns]
-    if missing:
-        raise ValueError(f"manual feature columns not found: {missing}")
-    candidates = [c for c in (manual or columns) if c != target]
-    at = day_index(target, prefixes)
-    if at is None:
-        return candidates, []
-    latest = at - 1 if strict_past_only else at
 
-    def allowed(c: str) -> bool:
-        day = day_index(c, prefixes)
-        return day is None or day <= latest
+def parse_columns(columns: Iterable[str], prefixes: Sequence[str], outcomes: Iterable[str] = ()) -> dict[str, Named]:
+    days, known = {p: i for i, p in enumerate(prefixes)}, set(outcomes)
+    lead = re.compile("|".join(f"({re.escape(p)})_" for p in prefixes) or "(?!)")
+    found = {c: lead.match(c) for c in columns}
+    return {c: Named(c, days[m[0][:-1]] if m else None, c in known, c.startswith(META_PREFIX)) for c, m in found.items()}
+
 
-    return [c for c in candidates if allowed(c)], [c for c in candidates if not allowed(c)]
+# May a column be a feature of the target?  Rules per mode, for columns other than the target and provenance.
+FEATURE_RULES = {
+    "strict": lambda c, t: not (c.outcome and t.outcome),
+    "all": lambda c, t: True,
+    "temporal": lambda c, t: not c.outcome or None not in (c.day, t.day) and c.day < t.day,
+}
+FEATURE_RULES["strong_signal_temporal"] = FEATURE_RULES["temporal"]
+
+
+def temporal_filter(columns: Sequence[str], target: str, prefixes: Sequence[str], strict_past_only: bool = True,
+                    manual: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
+    """Kept and dropped features: dated columns must lie before the target's day (or on it)."""
+    model = parse_columns(columns, prefixes)
+    if unknown := sorted({target, *(manual or [])} - model.keys()):
+        raise ValueError(f"columns not found: {unknown}")
+    end = len(prefixes) if model[target].day is None else model[target].day + (not strict_past_only)
+    parts = {True: [], False: []}
+    for c in manual or columns:
+        if c != target:
+            parts[model[c].day is None or model[c].day < end].append(c)
+    return parts[True], parts[False]
 
 
 def select_features(columns: Sequence[str], target: str, outcomes: Sequence[str], prefixes: Sequence[str],
                     mode: str = "temporal") -> list[str]:
-    """Feature names for a target; provenance columns never qualify.
-
-    strict: no outcome column; all: everything but the target; temporal and
-    strong_signal_temporal: outcomes of earlier days only.
-    """
-    known = set(outcomes)
-    if mode == "strict":
-        kept = [c for c in columns if c not in known] if target in known else [c for c in columns if c != target]
-    elif mode == "all":
-        kept = [c for c in columns if c != target]
-    elif mode in ("temporal", "strong_signal_temporal"):
-        at = day_index(target, prefixes)
-
-        def earlier(c: str) -> bool:
-            day = day_index(c, prefixes)
-            return at is not None and day is not None and day < at
-
-        kept = [c for c in columns if c != target and (c not in known or earlier(c))]
-    else:
+    """Feature names for a target by the rule of ``mode``; provenance columns never qualify."""
+    if mode not in FEATURE_RULES:
         raise ValueError(f"unknown feature mode: {mode}")
-    return [c for c in kept if not c.startswith(META_PREFIX)]
+    model = parse_columns([*columns, target], prefixes, outcomes)
+    rule, goal = FEATURE_RULES[mode], model[target]
+    return [c for c in columns if c != target and not model[c].provenance and rule(model[c], goal)]
 
 
 def shared_features(columns: Sequence[str], targets: Sequence[str], outcomes: Sequence[str],

@@ -108,3 +108,28 @@ def test_undefined_without_predictions_above(spark, tmp_path):
     (run / "test_predictions.csv").write_text("y_true,y_pred\n4,1\n1,1\n", encoding="utf-8")
     row = registry.tail_from_predictions(spark, str(tmp_path)).first()
     assert (row["fb_recall_4"], row["fb_precision_4"], row["fb_f1_4"], row["fb_recall_5"]) == ("0.0", "undefined", "undefined", "undefined")
+
+
+def test_layouts_of_output_paths(spark, tmp_path):
+    expect = {
+        "models/random_forest/outputs/raw/a/metrics.json": ("randomforest", "random_forest_raw", "data/processed/data_vectorized.csv"),
+        "models/logistic/outputs/overview.csv": ("logistic_regression", "logistic_raw", None),
+        "models/mlp/outputs/new/metrics.json": ("mlp", "mlp_new", None),
+        "xgboost/outputs/x/metrics.json": ("xgboost", "outputs", "data/processed/data_vectorized.csv"),
+        "data_argmentation_A/out/metrics.json": ("randomforest", "g1", "data_argmentation_A/datasets/g1/augmented_dataset.csv"),
+        "randomforest/outputs_comparison/metrics.json": ("randomforest", "outputs_comparison", registry.COPY_INPUT),
+        "baseline/run7/metrics.json": ("logistic_regression", "run7", None),
+        "other/xgboost/metrics.json": ("xgboost", "other", None),
+    }
+    rows = spark.createDataFrame([(p,) for p in expect], "rel string")
+
+    def facts():
+        f = registry.path_facts(spark, F.col("rel"), str(tmp_path), F.lit("g1"))
+        found = rows.select("rel", f["model_family"], f["run_name"], f["source_guess"]).collect()
+        return {r[0]: (r[1], r[2], r[3] and r[3].removeprefix(f"{tmp_path}/")) for r in found}
+
+    assert facts() == expect
+    made = tmp_path / registry.AUGMENTED_INPUT
+    made.parent.mkdir(parents=True)
+    made.write_text("a\n1\n")
+    assert facts()["xgboost/outputs/x/metrics.json"][2] == registry.AUGMENTED_INPUT
