@@ -98,6 +98,25 @@ def test_jaccard_join(spark, docs):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 
 
+def test_jaccard_join_near_the_threshold(spark):
+    """Near copies whose similarities lie on both sides of 3/4, some sharing their edits, without the text they come from."""
+    r, base, texts = random.Random(5), words(130, 21, 10**6).split(), []
+    for i in range(90):
+        own = list(base if i % 4 or not texts else r.choice(texts))
+        for k in r.sample(range(len(own)), r.randint(1, 6)):
+            own[k] = f"x{r.randrange(10**6)}"
+        texts.append(own[: r.randint(105, 130)])
+    sets = [{tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in texts]
+    least = list(range(len(sets)))
+    linked = [(x, y) for x, a in enumerate(sets) for y, b in enumerate(sets) if x < y and 4 * len(a & b) >= 3 * len(a | b)]
+    for _ in sets:
+        for x, y in linked:
+            least[x] = least[y] = min(least[x], least[y])
+    assert 3 < len(set(least)) < 60  # groups and single ones
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert got(jaccard_join.near_duplicates(df).drop("_h")) == Counter((i, len(s), c) for i, (s, c) in enumerate(zip(sets, least)))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 45)]
     found = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())
