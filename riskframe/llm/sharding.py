@@ -6,9 +6,10 @@ than the wanted number of bins is searched, so all shards come out near equal in
 
 Scale: bins are packed from a bounded list of items, whatever the number of rows.  A group of at least 1/512 of a shard is
 an item of its own, so there are at most 512 per shard.  Smaller groups are bundled by hash into 1,024 bundles per shard,
-a whole group in one bundle.  A group larger than half a shard cannot stay whole in equal shards: it becomes items by hash
-of doc_id, which are packed in runs of up to half a shard.  Sizes are summed before any shuffle, the item table is
-broadcast (its bound is above), and rows never meet by group: a copied text with a third of all rows moves nothing.
+a whole group in one bundle.  Only a group larger than a shard (all bytes / number of shards) is cut: it becomes items by
+hash of doc_id, which are packed in runs of up to half a shard.  Where many groups lie between half a shard and a shard,
+whole groups count more than equal shards.  Sizes are summed before any shuffle, the item table is broadcast (its bound is
+above), and rows never meet by group: a copied text with a third of all rows moves nothing.
 
 Nulls and other cases: a null text counts as empty and belongs to the group of empty texts; null and repeated doc_ids are
 values like others; equal rows get slots next to each other.  With fewer groups than shards some shards stay empty.
@@ -88,8 +89,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, extra: list[str] | None = None)
     cut: Column = F.pmod(F.xxhash64("doc_id"), F.lit(CUTS)).cast("int")
 
     sizes: dict[tuple, int] = {("b", r["b"], 0): r["n"] for r in small.groupBy(bundle.alias("b")).agg(F.sum("bytes").alias("n")).collect()}
-    sizes |= {("g", bytes(r["_group"]), 0): r["bytes"] for r in large.where(F.col("bytes") <= share / 2).collect()}
-    huge = F.broadcast(large.where(F.col("bytes") > share / 2).select("_group"))  # at most two per shard
+    sizes |= {("g", bytes(r["_group"]), 0): r["bytes"] for r in large.where(F.col("bytes") <= share).collect()}
+    huge = F.broadcast(large.where(F.col("bytes") > share).select("_group"))  # fewer than there are shards
     cuts: dict[bytes, list] = {}
     for r in rows.join(huge, "_group").groupBy("_group", cut.alias("c")).agg(F.sum("size").alias("n")).orderBy("_group", "c").collect():
         cuts.setdefault(bytes(r["_group"]), []).append(((bytes(r["_group"]), r["c"]), r["n"]))

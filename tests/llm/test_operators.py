@@ -156,6 +156,22 @@ def test_sharding(spark, docs):
     assert sharding.pack({("g", bytes([i]), 0): s for i, s in enumerate([5, 5, 4, 3, 3])}, 2).keys()
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """Groups of half a shard to a whole one, below it and above it; only the last is cut."""
+    copies = {"a": 70, "b": 60, "c": 52, "d": 20, "e": 130}
+    rows = [(i, key * 84) for i, key in enumerate(k for k, n in copies.items() for _ in range(n))]
+    rows += [(1000 + i, words(15, 1000 + i)) for i in range(68)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    texts, groups = dict(rows), {}
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    for r in out:
+        groups.setdefault(texts[r["doc_id"]], []).append((r["shard"], r["size"]))
+    share = sum(r["size"] for r in out) / 4
+    for text, own in groups.items():
+        assert (len({s for s, _ in own}) == 1) == (sum(n for _, n in own) <= share), text[:1]
+    assert {k for k, n in copies.items() if share / 2 < 100 * n <= share} == {"a", "b", "c"}
+
+
 def test_token_counts(spark, docs):
     import public_tokenizers
     import sentencepiece
