@@ -254,10 +254,10 @@ def _features(spark, sf):
 
 @query()
 def linear_search(spark, sf):
-    """Ridge and elastic-net searches side by side."""
+    """Ridge and elastic-net searches side by side, over their whole grids."""
     _, train = _features(spark, sf)
-    ridge = models.fit_ridge(train, _TARGET, [1.0, 30.0], folds=2)["results"]
-    net = models.fit_elastic_net(train, _TARGET, [0.1, 1.0], [0.5], folds=2)["results"]
+    ridge = models.fit_ridge(train, _TARGET)["results"]
+    net = models.fit_elastic_net(train, _TARGET)["results"]
     return rounded(ridge.withColumn("model", F.lit("ridge")).unionByName(net.withColumn("model", F.lit("elastic_net"))))
 
 
@@ -282,10 +282,10 @@ def isotonic_calibration(spark, sf):
 @query()
 def forest_run(spark, sf):
     """Tail-aware forest run: search, residual refit, quantile policy, calibration, metrics."""
-    from riskframe.plans.runs import SMALL_FOREST, train_forest
-    kept, _ = _features(spark, sf)
-    run = train_forest(outcome_matrix(spark, sf), _TARGET, kept, SEED, settings=SMALL_FOREST, weight_mode="focal_residual",
-                       quantiles="0.50,0.70", calibrate=True, folds=2, high=60.0, severe=90.0,
+    from riskframe.plans.runs import train_forest
+    kept, _ = schema.temporal_filter(MATRIX, _TARGET, WEEKS)
+    run = train_forest(outcome_matrix(spark, sf), _TARGET, kept, SEED, weight_mode="focal_residual",
+                       quantiles="0.50,0.70", calibrate=True, high=60.0, severe=90.0,
                        work_dir=f"{shared_folder(spark)}/run-{uuid.uuid4().hex}")
     return rounded(run["metrics"].drop("hyperparameter_search", "prediction_policy"))
 
@@ -293,7 +293,7 @@ def forest_run(spark, sf):
 @query()
 def boosted_importance(spark, sf):
     kept, train = _features(spark, sf)
-    found = models.fit_boosted(train, _TARGET, {"maxIter": [5, 10], "maxDepth": [3], "stepSize": [0.1]}, 2, folds=2)
+    found = models.fit_boosted(train, _TARGET)
     return rounded(models.feature_importance(found["model"], kept, spark))
 
 
@@ -314,35 +314,38 @@ def logistic_fit(spark, sf):
 @query()
 def mlp_fit(spark, sf):
     rows = _vectors(spark, sf).persist()
-    model = models.fit_mlp(rows, "y", 64, (12, 6), "w", max_iter=30)
+    model = models.fit_mlp(rows, "y", 64, oversample="w")
     scored = models.scored_classes(model, rows).withColumn("target", F.lit("label0"))
     return rounded(evaluate.auc(scored))
 
 
 @query()
 def logistic_overview(spark, sf):
-    """One model per target of the second week, evaluated together."""
+    """One model per target of the matrix, evaluated together."""
     from riskframe.plans.runs import train_logistic
-    targets = matrix_targets(spark).where("day = 'w1' AND metric IN ('click', 'purchase')")
-    out = train_logistic(outcome_matrix(spark, sf), targets, MATRIX, WEEKS, SEED, pain_metrics=["click"], high_above=60.0)
+    out = train_logistic(outcome_matrix(spark, sf), matrix_targets(spark), MATRIX, WEEKS, SEED, pain_metrics=["click"], high_above=60.0)
     return rounded(out)
 
 
 @query()
 def tuning_grid(spark, sf):
-    """Oversampling and loss weights tried on one target; the report order."""
-    from riskframe.plans.runs import train_logistic
-    m = outcome_matrix(spark, sf).persist()
-    targets = matrix_targets(spark).where("target = 'w1_click'").withColumn("target_en", F.lit("Week1_RestPain"))
-
-    def run_one(oversample, loss_weight):
-        done = train_logistic(m, targets, MATRIX, WEEKS, SEED, oversample=oversample, loss_weight=loss_weight,
-                              pain_metrics=["click"], high_above=60.0, strategy="fixed")
-        have = done.withColumn("target", F.col("target_en")).select("target", *models.MEAN_METRICS)
-        return [r.asDict() for r in have.collect()]
-
-    grid = models.tuning_settings([2.5, 3.0], [2.0])
-    return models.rank_table(models.tune_grid(spark, run_one, grid, 2)).drop("elapsed_sec")
+    """All oversampling and loss weights tried on all targets; the report order.
+
+    Targets are prepared once; those without pain scores don't depend on the weights and are fitted once.
+    """
+    from riskframe.plans.runs import fit_prepared, prepare_logistic
+    pain = ["click"]
+    name = F.when(F.col("metric") == "click", F.concat("day", F.lit("_RestPain"))).otherwise(F.col("target_en"))
+    targets = matrix_targets(spark).withColumn("target_en", name)
+    prepared = prepare_logistic(outcome_matrix(spark, sf).persist(), targets, MATRIX, WEEKS, SEED)
+
+    def fitted(parts, **weights):
+        done = fit_prepared(parts, targets, SEED, strategy="fixed", pain_metrics=pain, high_above=60.0, **weights)
+        return [r.asDict() for r in done.withColumn("target", F.col("target_en")).select("target", *models.MEAN_METRICS).collect()]
+
+    fixed = fitted([p for p in prepared if p["metric"] not in pain])
+    varied = [p for p in prepared if p["metric"] in pain]
+    return models.rank_table(models.tune_grid(spark, lambda **weights: fixed + fitted(varied, **weights), models.tuning_settings())).drop("elapsed_sec")
 
 
 @query(f"""WITH {_DOCS}, c AS ({counts_sql('0.5')}), r AS (SELECT *, {rates_sql()} FROM c), {_AUC}

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,64 @@ def test_layouts_of_output_paths(spark, tmp_path):
     made.parent.mkdir(parents=True)
     made.write_text("a\n1\n")
     assert facts()["xgboost/outputs/x/metrics.json"][2] == registry.AUGMENTED_INPUT
+
+
+def test_registered_models_run_at_full_size(spark, monkeypatch):
+    """Grids, folds, layers and targets of the registered model queries, read off without fitting."""
+    from riskframe.catalog import modelling
+    from riskframe.operators import models
+    from riskframe.plans import runs
+
+    class Stop(Exception):
+        pass
+
+    sf, seen = "/root/testdata/sf0.001", []
+
+    def search(make, settings, train, y, folds=4, **_):
+        seen.append((len(settings), folds))
+        return {"results": spark.range(1)}
+
+    monkeypatch.setattr(models, "search_and_fit", search)
+    modelling.linear_search(spark, sf)
+    for query in (modelling.forest_run, modelling.boosted_importance):
+        with pytest.raises(KeyError):
+            query(spark, sf)
+    assert seen == [(6, 4), (25, 4), (16, 4), (16, 4)]
+
+    def network(**params):
+        seen.append((params["layers"], params["maxIter"]))
+        raise Stop
+
+    monkeypatch.setattr(models, "MultilayerPerceptronClassifier", network)
+    with pytest.raises(Stop):
+        modelling.mlp_fit(spark, sf)
+    assert seen[-1] == ([64, 96, 48, 2], 100)
+
+    fits = []
+
+    def prepare(df, targets, *_, **__):
+        return [{"target": t["target"], "metric": t["metric"]} for t in targets.collect()]
+
+    def fit(parts, targets, *_, oversample=2.5, loss_weight=2.0, **__):
+        fits.append(({p["target"] for p in parts}, oversample, loss_weight))
+        rows = [(p["target"], p["target"], *[0.5] * len(models.MEAN_METRICS)) for p in parts]
+        return spark.createDataFrame(rows, "target string, target_en string, " + ", ".join(f"{m} double" for m in models.MEAN_METRICS))
+
+    monkeypatch.setattr(runs, "prepare_logistic", prepare)
+    monkeypatch.setattr(runs, "fit_prepared", fit)
+    assert modelling.logistic_overview(spark, sf).count() == 20
+    fits.clear()
+    rows = modelling.tuning_grid(spark, sf).collect()
+    assert {r["n_targets"] for r in rows} == {20} and {r["status"] for r in rows} == {"ok"}
+    assert len({(o, w) for t, o, w in fits if "w1_click" in t}) == len(rows) == 102
+
+
+def test_logistic_without_earlier_columns(spark):
+    """Targets of the first day have no features; their model is the intercept, and later ones are fitted beside them."""
+    from riskframe.plans import runs
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, float(v[0]), float(v[1])) for i, v in enumerate(r.integers(0, 2, (200, 2)))], "row_id long, w0_a double, w1_a double")
+    targets = spark.createDataFrame([(f"{d}_a", d, "a", f"{d}_a", "main", 1.0) for d in ("w0", "w1")],
+                                    "target string, day string, metric string, target_en string, target_tier string, positive_min double")
+    out = {r["target"]: r for r in runs.train_logistic(df, targets, ["w0_a", "w1_a"], ["w0", "w1"], strategy="fixed", pain_metrics=["a"], high_above=0.5).collect()}
+    assert set(out) == {"w0_a", "w1_a"} and out["w0_a"]["auc"] == 0.5
