@@ -368,19 +368,18 @@ SELECT 'random_forest' AS run, 'regression' AS task, 'randomforest' AS model, 'f
 UNION ALL SELECT 'logistic', 'classification', 'logistic_regression', 'raw', target, NULL, round(auc, 4), NULL, NULL FROM a""")
 def run_registry(spark, sf):
     """Run outputs of all lines and documents are written, then collected again."""
-    from riskframe.operators.registry import registry, registry_summary
-    from riskframe.plans.runs import save_overview
+    from riskframe.operators.registry import METRICS_FILE, NO_RUN, PREDICTIONS_FILE, registry, registry_summary
+    from riskframe.plans.runs import save_overview, save_runs
     root = f"{shared_folder(spark)}/outputs-{uuid.uuid4().hex}"
     lines = scored_lines(spark, sf)
-    for flag in [r[0] for r in lines.select("l_returnflag").distinct().limit(100).collect()]:
-        pred = lines.where(F.col("l_returnflag") == flag).select("y_true", "y_pred")
-        folder = f"{root}/models/random_forest/outputs/flag_{flag}"
-        evaluate.regression_metrics(pred).withColumn("target_column", F.lit("y_true")).coalesce(1).write.json(f"{folder}/metrics.json")
-        pred.write.csv(f"{folder}/test_predictions.csv", header=True)
+    run, folder = F.concat(F.lit("flag_"), "l_returnflag"), f"{root}/models/random_forest/outputs"
+    save_runs(evaluate.regression_metrics(lines, ["l_returnflag"]).select("*", F.lit("y_true").alias("target_column"), run.alias("group_name")), run, folder, METRICS_FILE)
+    save_runs(lines.select("y_true", "y_pred", "l_returnflag"), run, folder, PREDICTIONS_FILE)
     save_overview(evaluate.auc(scored_documents(spark, sf)), f"{root}/models/logistic/outputs/raw")
     s = registry_summary(registry(spark, root))
     number = lambda c: F.round(F.col(c).try_cast("double"), 4).alias(c)
-    return s.select(F.element_at(F.split("source_file", "/"), 2).alias("run"), "task", "model", "data_version", "target", number("mae"), number("auroc"),
+    return s.select(F.element_at(F.split("source_file", "/"), 2).alias("run"), "task", "model",
+                    F.nullif("data_version", F.lit(NO_RUN)).alias("data_version"), "target", number("mae"), number("auroc"),
                     number("high_pain_recall_at_4"), number("high_pain_precision_at_4"))
 
 

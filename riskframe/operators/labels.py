@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import scalars, text
 
-MAX_COLUMNS = 5_000  # wider one-hot tables are refused, never cut
-
 
 def label_counts(df: DataFrame, col: str) -> DataFrame:
     return (df.select(F.explode(text.split_labels(F.col(col))).alias("label"))
@@ -22,29 +20,40 @@ def frequent_labels(df: DataFrame, col: str, min_count: int = 10) -> list[str]:
     """Labels seen at least ``min_count`` times, all labels when none is."""
     counts = label_counts(df, col)
     for kept in (counts.where(F.col("n") >= min_count), counts):
-        rows = kept.orderBy(F.desc("n"), "label").limit(MAX_COLUMNS + 1).collect()
-        if len(rows) > MAX_COLUMNS:
-            raise ValueError(f"{col}: more than {MAX_COLUMNS} labels would become columns")
+        rows = kept.orderBy(F.desc("n"), "label").collect()
         if rows:
             return [r["label"] for r in rows]
     return []
 
 
+def one_hot_long(df: DataFrame, col: str, id_col: str = "row_id", min_count: int = 10, other: str = "其他") -> DataFrame:
+    """(id, label) of every flag that is 1, the long form of ``one_hot_multi``: no list of labels, so any number of them."""
+    counts = label_counts(df, col)
+    common = counts.agg(F.max("n").alias("_most"))
+    kept = counts.join(F.broadcast(common)).where((F.col("n") >= min_count) | (F.col("_most") < min_count)).select("label", F.lit(True).alias("_kept"))
+    rows = df.select(id_col, F.explode(text.split_labels(F.col(col))).alias("label")).join(kept, "label", "left")
+    return rows.select(id_col, F.when(F.col("_kept"), F.col("label")).otherwise(other).alias("label")).distinct()
+
+
 def one_hot_multi(df: DataFrame, col: str, min_count: int = 10, other: str = "其他") -> tuple[DataFrame, list[str]]:
     """0/1 column per frequent label plus one for any label outside the set.
 
-    A frequent label that is itself called like ``other`` is overwritten by it.
+    A frequent label that is itself called like ``other`` is overwritten by it.  With thousands of labels ``one_hot_long``
+    is the better form.
     """
     keep = frequent_labels(df, col, min_count)
     if not keep:
         return df, []
     labels = F.col("_labels")
     flags: dict = {}
+    spelled: dict[str, set] = {}
     for k in keep:
         name = f"{col}_oh_{scalars.sanitize_text(k)}"
-        twins = [n for n in flags if n.lower() == name.lower() and n != name]
+        twins = spelled.get(name.lower(), set()) - {name}
         # Spark's column names ignore case, so a label differing by case only is numbered
-        flags[f"{name}_{len(twins) + 1}" if twins else name] = F.array_contains(labels, k).cast("int")
+        name = f"{name}_{len(twins) + 1}" if twins else name
+        spelled.setdefault(name.lower(), set()).add(name)
+        flags[name] = F.array_contains(labels, k).cast("int")
     flags[f"{col}_oh_{other}"] = F.exists(labels, lambda x: ~x.isin(keep)).cast("int")
     out = df.withColumn("_labels", text.split_labels(F.col(col))).withColumns(flags).drop("_labels")
     return out, list(flags)

@@ -195,3 +195,27 @@ def test_logistic_without_earlier_columns(spark):
                                     "target string, day string, metric string, target_en string, target_tier string, positive_min double")
     out = {r["target"]: r for r in runs.train_logistic(df, targets, ["w0_a", "w1_a"], ["w0", "w1"], strategy="fixed", pain_metrics=["a"], high_above=0.5).collect()}
     assert set(out) == {"w0_a", "w1_a"} and out["w0_a"]["auc"] == 0.5
+
+
+def test_run_registry_keeps_every_flag(spark, tmp_path):
+    """More than 100 runs, one without a name and one whose name has signs that paths escape."""
+    from riskframe.catalog import modelling
+    flags = [f"f{i}" for i in range(130)] + ["a b=c", None]
+    lines = [(i, 1, f, "O", float(q), 15000.0 * i) for i, f in enumerate(flags) for q in (7, 49)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 100), (2, 900)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [r for r in modelling.run_registry(spark, str(tmp_path)).collect() if r["task"] == "regression"]
+    assert {r["data_version"] for r in rows} == {f and f"flag_{f}" for f in flags} and len(rows) == len(flags)
+    mae = lambda i: round((abs(i - 1) + abs(i - 7)) / 2, 4)
+    assert {r["data_version"]: r["mae"] for r in rows}["flag_f40"] == mae(40)
+
+
+def test_many_labels_and_levels(spark):
+    from riskframe.operators import labels, profile
+    rows = [(i, f"x{i}") for i in range(5_100)]
+    df = spark.createDataFrame(rows, "row_id long, m string")
+    assert len(labels.frequent_labels(df, "m", 1)) == 5_100
+    assert labels.one_hot_long(df, "m", min_count=1).count() == 5_100
+    levels = spark.createDataFrame([("d", float(i), 1) for i in range(10_050)], "drug string, level double, count long")
+    assert len(profile.pivot_counts(levels, ["drug"], "level", "count").columns) == 10_051
