@@ -1,9 +1,9 @@
 """Quality classifier: hashed word n-gram logistic regression, fitted by follow-the-regularised-leader updates.
 
-Features are the words, their forms (runs of capitals, small letters and digits become one sign each, other signs stay)
+Features are the words, pairs of neighbouring words, the words' forms (runs of capitals, small letters and digits become one sign each, other signs stay)
 and pairs of neighbouring forms (a word after itself is a pair of its own kind), hashed into 2^18 buckets; a feature's value is its share of the text's words, so length
-does not matter.  The score is a sparse dot product: a text's score is the mean of its words' weights, and a word's weight
-is looked up once per task.
+does not matter.  The score is a sparse dot product: a text's score is the sum of its words' and pairs' weights over its
+number of words, and a word's weight is looked up once per task.
 
 Scale: labels are learnt from at most TRAIN_DOCS rows (a parameter), chosen by hash; the model has at most 2^18 weights.
 Scoring is one pass over whole texts without a shuffle.
@@ -46,11 +46,19 @@ def pair_forms(words: list[str], forms: list[str]) -> list[str]:
     return ["=" if a is b or a == b else f + " " + g for a, b, f, g in zip(words, words[1:], forms, forms[1:])]
 
 
+def pair_ends(word: str) -> tuple[int, bytes]:
+    """A word as the first one of a pair (its checksum so far) and as the second."""
+    raw = word.encode("utf-8", "replace")
+    return crc32(b"n" + raw), b" " + raw
+
+
 def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and shares of a text's features; the last bucket is the intercept."""
     words = text.split()
     forms = [form(w) for w in words]
     at = [bucket("w", w) for w in words] + [bucket("f", f) for f in forms] + [bucket("p", p) for p in pair_forms(words, forms)]
+    ends = [pair_ends(w) for w in words]
+    at += [crc32(b, a) >> (32 - features.BITS) for (a, _), (_, b) in zip(ends, ends[1:])]
     found, counts = np.unique(np.asarray(at, dtype=np.int64), return_counts=True)
     return np.append(found, 2**features.BITS), np.append(counts * SCALE / max(1, len(words)), 1.0)
 
@@ -67,7 +75,7 @@ def train_shard(rows: list) -> dict[int, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
-    both = labels.where(F.col("quality").isNotNull())
+    both = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~features.held_out(F.col("doc_id")))
     share = {r["y"]: r["n"] for r in both.groupBy(F.col("quality").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = sum(share.values()) or 1
     sample = features.labelled_sample(docs, labels, "quality", {y: max(1, train_docs * n // whole) for y, n in share.items()})
@@ -78,14 +86,15 @@ def _scorer(weights: np.ndarray):
     packed = weights.astype(np.float32)
 
     def scorer():
-        single: dict[str, tuple[float, str]] = {}
+        single: dict[str, tuple[float, str, int, bytes]] = {}
+        flat, shift = packed.tolist(), 32 - features.BITS
         pairs: dict[str, float] = {}
 
-        def one(word: str) -> tuple[float, str]:
+        def one(word: str) -> tuple[float, str, int, bytes]:
             f = form(word)
             if len(single) >= 500_000:
                 single.clear()
-            single[word] = out = (float(packed[bucket("w", word)] + packed[bucket("f", f)]), f)
+            single[word] = out = (float(packed[bucket("w", word)] + packed[bucket("f", f)]), f, *pair_ends(word))
             return out
 
         def two(pair: str) -> float:
@@ -97,8 +106,8 @@ def _scorer(weights: np.ndarray):
         def run(text: str) -> tuple[float]:
             words = text.split()
             found = [single.get(w) or one(w) for w in words]
-            forms = [f for _, f in found]
-            total = sum([w for w, _ in found])
+            forms = [f[1] for f in found]
+            total = sum([f[0] for f in found]) + sum([flat[crc32(b[3], a[2]) >> shift] for a, b in zip(found, found[1:])])
             for pair in pair_forms(words, forms):
                 w = pairs.get(pair)
                 total += two(pair) if w is None else w

@@ -4,9 +4,10 @@ import random
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
-from riskframe.llm import components, decontaminate, jaccard_join, mixing, quality, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
+from riskframe.llm import components, decontaminate, features, jaccard_join, mixing, quality, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, source string, size string, key string"
 
@@ -195,6 +196,25 @@ def test_quality_rules(spark, docs):
     assert quality_rules.apply_rules(empty(spark)).count() == 0
 
 
+def test_quality_features_know_word_order(spark, monkeypatch):
+    """Pairs of words are features, scored as trained; shares of the classes come from rows that may teach."""
+    assert not np.array_equal(quality.text_features("red fox ran")[0], quality.text_features("fox ran red")[0])
+    weights = np.random.default_rng(2).normal(size=2**features.BITS + 1)
+    run = quality._scorer(weights)()
+    for text in ["", "one", "Red fox  ran ran 12 é", words(300, 4)]:
+        at, value = quality.text_features(text)
+        margin = max(-30, min(30, float(weights[at] @ value)))
+        assert run(text)[0] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-4)
+    labels = spark.range(4000).withColumnRenamed("id", "doc_id")
+    labels = labels.withColumn("quality", features.held_out(labels["doc_id"]).cast("int"))
+    seen = []
+    monkeypatch.setattr(features, "labelled_sample", lambda d, l, label, most: seen.append(most))
+    monkeypatch.setattr(features, "featurised", lambda *_: None)
+    monkeypatch.setattr(features, "fit", lambda *_: None)
+    quality.fit(None, labels, 100)
+    assert seen == [{0: 100}]
+
+
 def test_trained_scores(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
