@@ -190,11 +190,11 @@ def test_logistic_without_earlier_columns(spark):
     """Targets of the first day have no features; their model is the intercept, and later ones are fitted beside them."""
     from riskframe.plans import runs
     r = np.random.default_rng(4)
-    df = spark.createDataFrame([(i, float(v[0]), float(v[1])) for i, v in enumerate(r.integers(0, 2, (200, 2)))], "row_id long, w0_a double, w1_a double")
-    targets = spark.createDataFrame([(f"{d}_a", d, "a", f"{d}_a", "main", 1.0) for d in ("w0", "w1")],
+    df = spark.createDataFrame([(i, float(v[0]), float(v[1]), 0.0) for i, v in enumerate(r.integers(0, 2, (200, 2)))], "row_id long, w0_a double, w1_a double, w1_b double")
+    targets = spark.createDataFrame([(f"{d}_a", d, "a", f"{d}_a", "main", 1.0) for d in ("w0", "w1")] + [("w1_b", "w1", "b", "w1_b", "main", 9.0)],
                                     "target string, day string, metric string, target_en string, target_tier string, positive_min double")
-    out = {r["target"]: r for r in runs.train_logistic(df, targets, ["w0_a", "w1_a"], ["w0", "w1"], strategy="fixed", pain_metrics=["a"], high_above=0.5).collect()}
-    assert set(out) == {"w0_a", "w1_a"} and out["w0_a"]["auc"] == 0.5
+    out = {r["target"]: r for r in runs.train_logistic(df, targets, ["w0_a", "w1_a", "w1_b"], ["w0", "w1"], strategy="fixed", pain_metrics=["a"], high_above=0.5).collect()}
+    assert set(out) == {"w0_a", "w1_a", "w1_b"} and out["w1_b"]["auc"] is None and out["w0_a"]["auc"] == 0.5
 
 
 def test_run_registry_keeps_every_flag(spark, tmp_path):
