@@ -12,9 +12,11 @@ would have to index an empty segment (possible by chance in small sets) indexes
 the other such sets.  Pairs that differ in at most one shingle need a single segment: sets of up to 7 shingles index
 themselves and their one-deletion neighbourhoods.
 
-Candidates are verified on the whole sets.  In a segment group, first every set is compared with the group's first set
-only; linked sets are joined to components; then just those pairs of a group are compared whose components still differ and
-whose shingles that are in any other such set are enough for a link.
+Candidates are verified on the whole sets.  First in rounds: every set is compared with the hub of one of its tokens, linked
+sets are joined to components, and tokens with one component left drop out; a later round's hubs are of other components.
+Then the sets of different components that still share a token: a set u not linked with its hub h can only be linked with v
+if v has some of u's shingles that h has not (|u & v| <= |u & h| + |(u - h) & v|), so such pairs are found by joining these
+few, rare shingles and counting them.  Pairs about which the hubs say nothing are compared if they share enough tokens.
 So copies are never expanded into pairs and no link between components is lost.
 
 Scale: a set stands for all documents with that set, and each task indexes it once, so thousands of copies meet as one
@@ -42,6 +44,7 @@ from riskframe.llm.components import components
 WIDTH = 5
 FIRST_BAND, WHOLE_UPTO = 6, 7
 SEGMENT_SHARE = 0.42  # segments per shingle of the band's largest set; D is at most 2/7 of it
+ROUNDS = 3  # in which groups are compared with a hub
 SHARED_PART = 14  # of its shingles, so many index tokens are shared with a partner
 HASHED_WORDS = 500_000  # words whose hashes a task keeps
 ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier of the rolling hash
@@ -207,21 +210,34 @@ def with_partners(shared: DataFrame, sets: DataFrame) -> DataFrame:
     return attach(shared, keep, ["set"])
 
 
-def first_pairs(shared: DataFrame) -> DataFrame:
-    """(u, v): each set v with the hub of one of its tokens, of fitting size and with most tokens in common.
+def hub_pairs(rows: DataFrame, hubs: DataFrame | None = None, compared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(v, hub): each set v of ``rows`` (token, set, n, root) with the hub of one of its tokens, of another component, of fitting
+    size and with most tokens in common; and the hubs (token, set) themselves.
 
     A token's hub is the set whose tokens have most sets together: in a group of copies of one text that is the text, which
-    the copies resemble more than one another.
+    the copies resemble more than one another.  In later rounds components that have a hub in the token already name no more.
     """
-    sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("_k"))
-    weights = shared.join(sizes, "token").groupBy("set").agg(F.sum("_k").alias("_w"), F.max("n").alias("_n"))
-    weighted = attach(shared, stored(weights, "weights").select("set", "_w"), ["set"])
-    hub = weighted.groupBy("token").agg(F.max(F.struct("_w", "set", "n")).alias("_f"), F.min("set").alias("_a"), F.max("set").alias("_b")).where("_a <> _b")
-    met = shared.join(hub, "token").where(F.col("set") != F.col("_f.set"))
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_k"))
+    weights = rows.join(sizes, "token").groupBy("set").agg(F.sum("_k").alias("_w"))
+    weighted = attach(rows, stored(weights, "weights"), ["set"])
+    if hubs is not None:
+        roots = rows.select("token", "set", "root").join(hubs, ["token", "set"]).select("token", "root").distinct()
+        weighted = weighted.join(roots, ["token", "root"], "left_anti")
+    chosen = stored(weighted.groupBy("token").agg(F.max(F.struct("_w", "set", "n", "root")).alias("_f")), "hubs")
+    met = rows.join(chosen, "token").where(F.col("root") != F.col("_f.root"))
     fits = 4 * F.least("n", "_f.n") >= 3 * F.greatest("n", "_f.n")
-    counts = met.where(fits).groupBy(F.col("set").alias("v"), F.col("_f.set").alias("u")).agg(F.count(F.lit(1)).alias("_k"))
-    best = counts.groupBy("v").agg(F.max(F.struct("_k", "u")).alias("_best"))
-    return best.select(F.least("_best.u", "v").alias("u"), F.greatest("_best.u", "v").alias("v")).distinct()
+    counts = met.where(fits).groupBy(F.col("set").alias("v"), F.col("_f.set").alias("hub")).agg(F.count(F.lit(1)).alias("_k"))
+    if compared is not None:
+        counts = counts.join(compared, ["v", "hub"], "left_anti")
+    best = counts.groupBy("v").agg(F.max(F.struct("_k", "hub")).alias("_best")).select("v", F.col("_best.hub").alias("hub"))
+    return stored(best, "pairs"), chosen.select("token", F.col("_f.set").alias("set"))
+
+
+def mixed_groups(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows, with their component's root, of the tokens that more than one component has."""
+    at = attach(shared, roots.withColumnRenamed("node", "set"), ["set"], "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = at.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("token")
+    return stored(at.join(mixed, "token"), "open")
 
 
 def shingle_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -262,40 +278,80 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met(close, only(sets, near, "set"), "found").where(enough(F.col("_both"))).select("u", "v")
 
 
-def without_loners(open_: DataFrame, found: DataFrame) -> DataFrame:
+def without_loners(open_: DataFrame, own: DataFrame) -> DataFrame:
     """``open_`` with ``c``, the number of a set's shingles that other open sets have too; sets with too small a ``c`` go.
 
     A shingle of a single set is in no intersection, so two sets share at most the smaller ``c`` and link only if
     7 c >= 3 (|r| + |s|); a partner has c shingles at least, so a set with 4 c < 3 n has none.
     """
-    own = only(found, stored(open_.select("set").distinct(), "opened"), "set").select("set", F.explode("found").alias("_s"))
     alone = own.groupBy("_s").agg(F.max("set").alias("set"), F.count(F.lit(1)).alias("_k")).where("_k = 1")
     alone = stored(alone.groupBy("set").agg(F.count(F.lit(1)).alias("_alone")), "alone")
     counted = attach(open_, alone, ["set"], "left").withColumn("c", F.col("n") - F.coalesce("_alone", F.lit(0)))
     return counted.where(4 * F.col("c") >= 3 * F.col("n")).drop("_alone")
 
 
+def off_hub(compared: DataFrame, found: DataFrame, open_sets: DataFrame) -> DataFrame:
+    """(set, both, off) of the open sets that are not linked with their hub: the size of the intersection with the one of
+    their hubs that they resemble most, and the shingles that it has not."""
+    mine = found.select(F.col("set").alias("v"), F.col("n").alias("_nv"), F.col("found").alias("_v"))
+    hubs = found.select(F.col("set").alias("hub"), F.col("n").alias("_nh"), F.col("found").alias("_h"))
+    met = compared.join(open_sets.select(F.col("set").alias("v")), "v", "left_semi").join(mine, "v").join(hubs, "hub")
+    met = met.withColumn("off", F.array_except("_v", "_h")).withColumn("both", F.col("_nv") - F.size("off"))
+    best = met.groupBy("v").agg(F.max_by(F.struct("both", "off", "_nv", "_nh"), "both").alias("_b")).select(F.col("v").alias("set"), "_b.*")
+    return best.where(7 * F.col("both") < 3 * (F.col("_nv") + F.col("_nh"))).select("set", "both", "off")
+
+
+def remaining_pairs(open_: DataFrame, own: DataFrame, off: DataFrame) -> DataFrame:
+    """(u, v) of different components that may still be linked.
+
+    A set u that shares ``both`` shingles with a hub shares at most ``both`` plus k with v, if v has k of u's shingles that the
+    hub has not.  Where ``both`` alone is too little for a link, the pair is found by joining those shingles, which are rare,
+    instead of the tokens, which a whole group of copies shares.  The other pairs (the partner much smaller than the hub, or
+    both linked with a hub of their own) meet by tokens.
+    """
+    facts = stored(attach(open_.select("set", "n", "c", "root").distinct(), off.select("set", "both"), ["set"], "left"), "facts")
+    side = lambda x: [F.col("set").alias(x), *[F.col(k).alias(f"_{k}{x}") for k in ("n", "c", "root", "both")]]
+    fits = (F.col("_rootu") != F.col("_rootv")) & (4 * F.least("_nu", "_nv") >= 3 * F.greatest("_nu", "_nv"))
+    fits = fits & (7 * F.least("_cu", "_cv") >= 3 * (F.col("_nu") + F.col("_nv")))
+    short = lambda x: F.coalesce(7 * F.col(f"_both{x}") < 3 * (F.col("_nu") + F.col("_nv")), F.lit(False))
+
+    rare = attach(off.select("set", F.explode("off").alias("_s")), facts, ["set"]).select("_s", *side("u"))
+    all_ = attach(own, facts, ["set"]).select("_s", *side("v"))
+    by_shingle = rare.join(all_, "_s").where(fits & short("u")).groupBy("u", "v").agg(
+        F.count(F.lit(1)).alias("_k"), F.max(F.col("_nu") + F.col("_nv")).alias("_n"), F.max("_bothu").alias("_both"))
+    by_shingle = by_shingle.where(7 * (F.col("_both") + F.col("_k")) >= 3 * F.col("_n"))
+
+    rows = attach(open_.select("token", "set"), facts, ["set"])
+    met = rows.select("token", *side("u")).join(rows.select("token", *side("v")), "token")
+    met = met.where(fits & (F.col("u") < F.col("v")) & ~short("u") & ~short("v"))
+    by_token = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_k"), F.min(F.least("_nu", "_nv")).alias("_n"))
+    by_token = by_token.where(F.col("_k") >= F.greatest(F.floor(F.col("_n") / SHARED_PART), F.lit(1)))
+    return by_shingle.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(by_token.select("u", "v")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; ``_h`` tells equal doc_ids apart."""
     sets = stored(with_sets(docs), "sets")
     tokens = stored(shared_tokens(index_rows(docs)), "tokens")
     shared = stored(with_partners(tokens, sets), "shared")
     discard(tokens)
-    first = stored(first_pairs(shared), "pairs")
     found = stored(shingle_sets(docs, sets, stored(shared.select("set").distinct(), "wanted")), "shingles")
-    linked = stored(links(first, found), "links")
-    roots = stored(components(linked), "roots")
-
-    at = attach(shared, roots.withColumnRenamed("node", "set"), ["set"], "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = at.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("token")
-    open_ = stored(without_loners(stored(at.join(mixed, "token"), "open"), found), "open")
-    a = open_.select("token", F.col("set").alias("u"), F.col("root").alias("_ru"), F.col("n").alias("_nu"), F.col("c").alias("_cu"))
-    b = open_.select("token", F.col("set").alias("v"), F.col("root").alias("_rv"), F.col("n").alias("_nv"), F.col("c").alias("_cv"))
-    fits = (F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & (4 * F.least("_nu", "_nv") >= 3 * F.greatest("_nu", "_nv"))
-    fits = fits & (7 * F.least("_cu", "_cv") >= 3 * (F.col("_nu") + F.col("_nv")))
-    counted = a.join(b, "token").where(fits).groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min(F.least("_nu", "_nv")).alias("_n"))
-    enough = F.col("_shared") >= F.greatest(F.floor(F.col("_n") / SHARED_PART), F.lit(1))
-    rest = counted.where(enough).select("u", "v").join(first, ["u", "v"], "left_anti")
+    open_, hubs, compared, linked = shared.withColumn("root", F.col("set")), None, None, None
+    for _ in range(ROUNDS):
+        pairs, chosen = hub_pairs(open_, hubs, compared)
+        new = stored(links(pairs.select(F.least("v", "hub").alias("u"), F.greatest("v", "hub").alias("v")).distinct(), found), "links")
+        linked = new if linked is None else linked.unionByName(new)
+        hubs = chosen if hubs is None else hubs.unionByName(chosen)
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        roots = stored(components(linked), "roots")
+        open_ = mixed_groups(shared, roots)
+
+    opened = stored(open_.select("set").distinct(), "opened")
+    own = stored(only(found, opened, "set").select("set", F.explode("found").alias("_s")), "own")
+    open_ = stored(without_loners(open_, own), "open")
+    opened = stored(open_.select("set").distinct(), "opened")
+    off = stored(off_hub(compared, found, opened), "off")
+    rest = remaining_pairs(open_, only(own, opened, "set"), off).join(compared.select(F.least("v", "hub").alias("u"), F.greatest("v", "hub").alias("v")), ["u", "v"], "left_anti")
     more = links(stored(rest, "pairs"), found)
     roots = stored(components(linked.unionByName(more)), "roots")
 

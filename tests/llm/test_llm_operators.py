@@ -118,6 +118,29 @@ def test_jaccard_join_near_the_threshold(spark):
     assert got(jaccard_join.near_duplicates(df).drop("_h")) == Counter((i, len(s), c) for i, (s, c) in enumerate(zip(sets, least)))
 
 
+def test_jaccard_join_of_a_large_group(spark):
+    """3,000 near copies of one text, most of them around 3/4 from it, some with edits of their own in common."""
+    r, base, texts = random.Random(8), words(100, 31, 10**6).split(), []
+    for i in range(3000):
+        own = list(base)
+        for k in r.sample(range(100), r.randint(2, 4)):
+            own[k] = f"x{r.randrange(40)}"
+        texts.append(own[: 100 - r.choice([0, 0, 0, 1, 5])] + [f"y{r.randrange(30)}"] * r.choice([0, 2]))
+    sets = [{tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in texts]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    sizes = has.sum(1)
+    linked = 7 * (has @ has.T) >= 3 * (sizes[:, None] + sizes[None, :])
+    least, before = np.arange(len(sets)), None
+    while before is None or (before != least).any():
+        before, least = least, np.where(linked, least[None, :], len(sets)).min(1)
+    assert 20 < len(set(least)) < 2500
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert got(jaccard_join.near_duplicates(df).drop("_h")) == Counter((i, len(s), int(c)) for i, (s, c) in enumerate(zip(sets, least)))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 45)]
     found = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())
