@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, jaccard_join, mixing, quality, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
+from riskframe.llm import chat_format, collocations, decontaminate, jaccard_join, mixing, periodic_runs, quality, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 from riskframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,48 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, c) AS compone
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(to_id) AS c FROM reach GROUP BY doc_id) USING (doc_id)""")
 def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf, "documents")).drop("_h")
+
+
+_turn_chars = sum(len(mark) for mark in (chat_format.TURN, chat_format.TEXT, chat_format.END))
+
+
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{chat_format.ODD_TEXT}'), (-1, 1, 'assistant', '{chat_format.ODD_TEXT}')),
+e AS (SELECT *, role || chr(10) || text || chr(10) AS told,
+             {_turn_chars} + length(regexp_replace(role, '{chat_format.CONTROL}', '\1\\\2\3', 'g')) + length(regexp_replace(text, '{chat_format.CONTROL}', '\1\\\2\3', 'g')) AS chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(told, '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op11_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", chat_format.ODD_TEXT), (-1, 1, "assistant", chat_format.ODD_TEXT)], rows.schema)
+    return chat_format.digests(rows.unionByName(more))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf, "documents"), rewrite=True).drop("runs")
+
+
+@query(rf"""
+WITH p AS (SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{collocations.UPPER}', '{collocations.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+u AS (SELECT lang, piece, unnest(ws) AS w1, unnest(range(len(ws))) AS i FROM p),
+w AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS (SELECT lang, 1 AS k, w1 AS phrase, count(*)::HUGEINT AS a FROM w GROUP BY ALL
+      UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM w WHERE w2 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM w WHERE w3 IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= {collocations.LEAST}),
+parts AS (SELECT *, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+cut AS (SELECT t.lang, t.k, t.phrase, t.a, x.a AS l, y.a AS r, j, (1000000::HUGEINT * t.a * t.a) // (x.a * y.a) AS score
+        FROM parts t JOIN f x ON x.lang = t.lang AND x.phrase = t.head JOIN f y ON y.lang = t.lang AND y.phrase = t.tail),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+         FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE NOT coalesce(100 * g.a >= {collocations.COVERED_PERCENT} * b.a, false))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM kept JOIN n USING (lang) WHERE rank <= {collocations.KEPT}""")
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.best_phrases(table(spark, sf, "documents"))
