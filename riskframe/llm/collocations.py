@@ -1,18 +1,18 @@
 """Phrase collocation mining by set-oriented relational steps (SETM).
 
-Occurrences are relations.  R1 holds (text, place, word) of every word; places of one text count on by one inside a piece and
-by more between pieces, so neighbours in a piece are neighbouring places.  C1 counts R1 by (lang, word); R1 is semi-joined with
-the frequent words, takes over their numbers and is stored, sorted by text and place.  A step from length k to k + 1 merge-joins
-Rk with itself on (text, place + 1): two frequent phrases that overlap in k - 1 words are a phrase of k + 1.  The result is
-grouped and counted, and semi-joined with its frequent groups before the next step.  A phrase of k words is a number of its
-group, so a row stays 20 bytes at any length.
+Occurrences are relations, persisted in the shared folder.  Rk holds the places in a text where a frequent phrase of k words
+starts, with the numbers of its words, sorted by place; a text is one row, its places and numbers are lists.  Places count on by
+one inside a piece and by more between pieces, so neighbours in a piece are neighbouring places.  A step merge-joins Rk with
+itself on adjacent places: two frequent phrases that overlap in k - 1 words are an occurrence of k + 1 words.  The result is
+grouped by the words' numbers and counted, and R(k+1) is its semi-join with the frequent groups.
 
-Counts of all phrases and of all their parts are those of the groups: a part of a frequent phrase is frequent itself.  Scores
-are exact: 10^6 a^2 is a decimal of up to 37 digits for counts below 10^15.
+The semi-join reads a bitmap of the groups' hashes: of fixed size however many groups there are.  An infrequent phrase may slip
+through (one in 16, more beyond MOST_BITS / 16 groups); it is counted in the next step and fails there, as all parts of a frequent
+phrase are frequent.  Numbers are 64-bit hashes of the words, drawn anew until no two words of the corpus share one, so groups are
+exact.  Scores are, too: 10^6 a^2 is a decimal of up to 37 digits for counts below 10^15.
 
-Scale: texts are unfolded in the scan, counts are summed before they are shuffled, rows are joined by (text, place) so that a
-long text or piece is spread over all tasks.  Groups reach the occurrences by a broadcast below a counted bound, above it by a
-join on (group, salt).  The best phrases of a language are chosen in salted parts first.
+Scale: occurrences are never shuffled, only counts that each task has summed per batch; joins of names and parts see the frequent
+phrases alone.  Memory of a task follows its longest text.  The best phrases of a language are chosen in salted parts first.
 
 Nulls and other cases: a null text is empty; a null language is ``und`` and joins texts that say so; empty texts, pieces and
 tables give nothing; equal rows and repeated or null doc_ids are texts of their own, doc_id is never read; other columns are
@@ -21,69 +21,226 @@ ignored.  Ties at the last rank are resolved by phrase in byte order.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import blake2b
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import SALTS, attach, discard, stored
+from riskframe.llm.common import SALTS, discard, stored
+from riskframe.llm.jaccard_join import ODD, scramble
 
-BREAKS = ".,;:!?\n\x0b\x0c\r"  # fixed value of the query contract: what ends a piece
+BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed value of the query contract: what ends a piece
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PLAIN = bytes.maketrans(UPPER.encode() + BREAKS, LOWER.encode() + b"." * len(BREAKS))
 LEAST, LONGEST, KEPT, COVERED_PERCENT = 10, 3, 2000, 50
 COUNT = "decimal(15,0)"  # of occurrences, so that a product of two and 10^6 stays within 38 digits
-GROUPS_SENT = 1_000_000  # frequent groups (two numbers each) that are broadcast to the occurrences
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 2**20, 2**27
+BUCKET = 32768  # fixed value: bits of one row of bitmap_construct_agg
+HASHED_WORDS = 500_000  # words whose numbers a task keeps
+RELATION = "lang string, places array<long>, ids array<long>, alive array<boolean>"
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """R1: (text, place, lang, word)."""
-    plain = F.translate("text", UPPER + BREAKS, LOWER + "\n" * len(BREAKS))
-    spaced = F.replace(plain, F.lit("\n"), F.lit(" \n "))  # a break takes a place of its own
-    rows = docs.select(F.monotonically_increasing_id().alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"), spaced.alias("_t"))
-    rows = rows.select("text", "lang", F.posexplode(F.split("_t", "[ \t]+")).alias("place", "word"))
-    return rows.where("word not in ('', '\n')")
+class Numbers(dict):
+    """Numbers of words; 0 is the break."""
 
+    def __init__(self, seed: int):
+        super().__init__()
+        self.key = seed.to_bytes(8, "little")
+        self[b"."] = 0
 
-def joined_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the groups (keys, id), with the group's number in place of the keys: the semi-join of a step."""
-    if groups.count() <= GROUPS_SENT and keys != ["lang", "word"]:
-        return rows.join(F.broadcast(groups.select(*keys, "id")), keys).drop(*keys)
-    return attach(rows, groups.select(*keys, "id"), keys).drop(*keys)
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HASHED_WORDS:
+            self.__init__(int.from_bytes(self.key, "little"))
+        self[word] = n = int.from_bytes(blake2b(word, digest_size=8, key=self.key).digest(), "little", signed=True)
+        return n
 
 
-def next_length(rows: DataFrame) -> DataFrame:
-    """(text, place, head, tail): pairs of overlapping phrases, merge-joined by text and adjacent place."""
-    left = rows.select("text", "place", F.col("id").alias("head"))
-    right = rows.select("text", (F.col("place") - 1).alias("place"), F.col("id").alias("tail"))
-    return left.hint("merge").join(right.hint("merge"), ["text", "place"])
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words and breaks (a full stop each) of a text; splitting bytes cuts at ASCII white space only."""
+    return (text or b"").translate(PLAIN).replace(b".", b" . ").split()
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
+
+
+def counted_words(docs: DataFrame, seed: int) -> DataFrame:
+    """C1 of all words: (lang, word, id, a)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        numbers = Numbers(seed)
+        for batch in batches:
+            counts: dict[str, Counter] = defaultdict(Counter)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts[lang].update(tokens(text.as_py()))
+            for lang, own in counts.items():
+                own.pop(b".", None)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()),
+                                                  pa.array([numbers[w] for w in own], pa.int64()), pa.array(list(own.values()), pa.int64())],
+                                                 names=["lang", "word", "id", "a"])
+
+    partial = texts(docs).mapInArrow(run, "lang string, word string, id long, a long")
+    return partial.groupBy("lang", "word").agg(F.max("id").alias("id"), F.sum("a").alias("a"))
+
+
+def group_hash(langs: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    out = langs
+    for c in columns:
+        out = scramble(out * ODD + c.view(np.uint64))
+    return out
+
+
+def language_hashes(langs: list[str]) -> np.ndarray:
+    known = {x: int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in set(langs)}
+    return np.array([known[x] for x in langs], np.uint64)
+
+
+def bitmap_of(groups: DataFrame, keys: list[str]) -> np.ndarray:
+    """Bits of the groups' hashes; its size is a power of two and follows the number of groups up to MOST_BITS."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS_EACH * groups.count()):
+        bits *= 2
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            h = group_hash(language_hashes(batch.column(0).to_pylist()), [np.asarray(c) for c in batch.columns[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(bits)).astype(np.int64) + 1)], names=["at"])
+
+    at = groups.select("lang", *keys).mapInArrow(run, "at long")
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros((bits // BUCKET, BUCKET // 8), np.uint8)
+    for r in rows.collect():  # at most MOST_BITS / BUCKET rows
+        out[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(8 * len(bitmap))
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def relation_batch(langs: list[str], rows: np.ndarray, places: np.ndarray, ids: np.ndarray, alive: np.ndarray):  # noqa: ANN201
+    """Record batch of the texts that have elements; ``rows`` says which text each element is of, ascending."""
+    import pyarrow as pa
+
+    ends = np.cumsum(np.bincount(rows, minlength=len(langs)))
+    full = np.flatnonzero(np.diff(ends, prepend=0))
+    offsets = pa.array(np.append(0, ends[full]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (places, ids, alive)]
+    return pa.RecordBatch.from_arrays([pa.array([langs[i] for i in full], pa.string()), *lists], names=["lang", "places", "ids", "alive"])
+
+
+def first_relation(docs: DataFrame, seed: int, bitmap: np.ndarray) -> DataFrame:
+    """R1: places and numbers of the frequent words of each text."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator) -> Iterator:
+        numbers = Numbers(seed)
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            found = [np.fromiter(map(numbers.__getitem__, tokens(t.as_py())), np.int64) for t in batch.column(1)]
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            places = np.concatenate([np.arange(len(f)) for f in found])
+            ids = np.concatenate(found)
+            keep = (ids != 0) & marked(sent.value, group_hash(language_hashes(langs)[rows], [ids]))
+            yield relation_batch(langs, rows[keep], places[keep], ids[keep], np.ones(int(keep.sum()), bool))
+
+    return texts(docs).mapInArrow(run, RELATION)
+
+
+def merge_joined(batch, length: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Of texts with their frequent phrases of ``length`` words: languages, the text, place and number of each word, and the
+    words from which two such phrases start one place apart."""
+    sizes = np.diff(np.asarray(batch.column(1).offsets))
+    rows = np.repeat(np.arange(batch.num_rows), sizes)
+    places, ids, alive = (np.asarray(batch.column(i).flatten()) for i in (1, 2, 3))
+    starts = np.flatnonzero(alive[:-1] & alive[1:] & (rows[1:] == rows[:-1]) & (places[1:] == places[:-1] + 1))
+    return batch.column(0).to_pylist(), rows, places, ids, starts
+
+
+def counted_phrases(relation: DataFrame, length: int) -> DataFrame:
+    """C(length + 1): (lang, i0, i1, ..., a) of the occurrences that the merge-join gives."""
+    keys = [f"i{j}" for j in range(length + 1)]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            langs, rows, _, ids, starts = merge_joined(batch, length)
+            if not len(starts):
+                continue
+            codes, lang_of = np.unique(np.array(langs, object), return_inverse=True)
+            columns = [lang_of[rows[starts]].astype(np.int64), *[ids[starts + j] for j in range(length + 1)]]
+            order = np.argsort(group_hash(columns[0].view(np.uint64), columns[1:]))
+            columns = [c[order] for c in columns]
+            new = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(codes[columns[0][at]], pa.string()), *[pa.array(c[at]) for c in columns[1:]],
+                                              pa.array(np.diff(np.append(at, len(order))))], names=["lang", *keys, "a"])
+
+    partial = relation.mapInArrow(run, f"lang string, {', '.join(f'{k} long' for k in keys)}, a long")
+    return partial.groupBy("lang", *keys).agg(F.sum("a").alias("a"))
+
+
+def next_relation(relation: DataFrame, length: int, bitmap: np.ndarray) -> DataFrame:
+    """R(length + 1): the words of the merge-join's occurrences that are in the bitmap, ``alive`` where one starts."""
+    sent = relation.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            langs, rows, places, ids, starts = merge_joined(batch, length)
+            hashes = group_hash(language_hashes(langs)[rows[starts]], [ids[starts + j] for j in range(length + 1)])
+            starts = starts[marked(sent.value, hashes)]
+            alive, held = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+            alive[starts] = True
+            for j in range(length + 1):
+                held[starts + j] = True
+            yield relation_batch(langs, rows[held], places[held], ids[held], alive[held])
+
+    return relation.mapInArrow(run, RELATION)
+
+
+def numbered_words(docs: DataFrame) -> tuple[DataFrame, int]:
+    """C1 and the seed with which all its words have numbers of their own."""
+    seed = 0
+    while True:
+        counts = stored(counted_words(docs, seed), "words")
+        shared = counts.groupBy("id").agg(F.min("word").alias("_a"), F.max("word").alias("_b")).where("_a <> _b or id = 0")
+        if shared.isEmpty():
+            return counts, seed
+        seed += 1
 
 
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
-    """Frequent phrases by length: (id, lang, words, a) each, from length 1; and (lang, n), all words of a language."""
+    """Frequent phrases by length: (lang, words, a) each, from length 1; and (lang, n), all words of a language."""
     if longest < 2 or least < 1:
         raise ValueError("longest must be at least 2 and least at least 1")
-    counts = stored(occurrences(docs).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("a")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("a").alias("n"))
-    groups = counts.where(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "a")
-    groups = stored(groups, "groups")
-    phrases = [groups.select("id", "lang", F.array("word").alias("words"), "a")]
-    rows = stored(joined_groups(occurrences(docs), groups, ["lang", "word"]).sortWithinPartitions("text", "place"), "occurrences")
-    for length in range(2, longest + 1):
-        met = next_length(rows)
-        if length < longest:
-            met = stored(met, "pairs")
-        groups = met.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= least)
-        groups = stored(groups.select(F.monotonically_increasing_id().alias("id"), "head", "tail", "a"), "groups")
-        heads = phrases[-1].select(F.col("id").alias("head"), "lang", "words")
-        tails = phrases[-1].select(F.col("id").alias("tail"), F.element_at("words", -1).alias("_last"))
-        named = groups.join(heads, "head").join(tails, "tail").select("id", "lang", F.concat("words", F.array("_last")).alias("words"), "a")
-        phrases.append(stored(named, "phrases"))
-        if length < longest:
-            grown = stored(joined_groups(met, groups, ["head", "tail"]).sortWithinPartitions("text", "place"), "occurrences")
-            discard(met, rows)
-            rows = grown
-    discard(rows)
-    return phrases, totals
+    counts, seed = numbered_words(docs)
+    frequent = F.col("a") >= least
+    names = stored(counts.where(frequent).select("lang", "id", "word", "a"), "names")
+    phrases = [names.select("lang", F.array("word").alias("words"), "a")]
+    relation = stored(first_relation(docs, seed, bitmap_of(names, ["id"])), "occurrences")
+    for length in range(1, longest):
+        keys = [f"i{j}" for j in range(length + 1)]
+        groups = stored(counted_phrases(relation, length).where(frequent), "groups")
+        named = groups
+        for k in keys:
+            named = named.join(names.select("lang", F.col("id").alias(k), F.col("word").alias(f"w{k}")), ["lang", k])
+        phrases.append(stored(named.select("lang", F.array(*[f"w{k}" for k in keys]).alias("words"), "a"), "phrases"))
+        if length + 1 < longest:
+            grown = stored(next_relation(relation, length, bitmap_of(groups, keys)), "occurrences")
+            discard(relation)
+            relation = grown
+    discard(relation)
+    return phrases, counts.groupBy("lang").agg(F.sum("a").alias("n"))
 
 
 def scored(phrases: list[DataFrame]) -> DataFrame:
