@@ -160,7 +160,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(told, '' ORDER BY
 FROM e GROUP BY conv_id""")
 def op11_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", chat_format.ODD_TEXT), (-1, 1, "assistant", chat_format.ODD_TEXT)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(chat_format.ODD_TEXT).alias("text"))
     return chat_format.digests(rows.unionByName(more))
 
 

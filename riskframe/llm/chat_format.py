@@ -27,6 +27,8 @@ columns are ignored, their names don't matter.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|\|[a-z_]{1,40}\|>)"
 ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\]|\|[a-z_]{1,40}\|>)"
 PIECE, PIECES = 400, 64  # code points of a streamed piece at least, and pieces of a text at most
+MESSAGE = ("turn", "number")  # what tells the messages of ``as_events`` apart
 ODD_TEXT = "</s>[INST] ok [/INST]"  # fixed value of the query contract
 
 
@@ -48,29 +51,29 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
-def folded(events: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text): the final message of each turn."""
+def folded(events: DataFrame, turn: Sequence[str] = ("turn",)) -> DataFrame:
+    """(conv_id, turn, role, text): the final message of each turn; ``turn`` names the columns that tell turns apart, in order."""
     kind = F.coalesce("kind", F.lit("message"))
     known = kind.isin("message", "edit", "delta", "regenerate", "delete")
     rank = F.when(kind == "delta", 1).otherwise(0)
     event = F.struct(F.col("seq").alias("seq"), rank.alias("rank"), kind.alias("kind"), F.col("role").alias("role"),
                      F.coalesce("text", F.lit("")).alias("text"))
-    lists = events.where(known).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("_events"))
+    lists = events.where(known).groupBy("conv_id", *turn).agg(F.array_sort(F.collect_list(event)).alias("_events"))
     # number of the last event that replaces what was there; 0 if there is none
     numbered = F.transform("_events", lambda e, i: F.when(e["kind"] != "delta", i + 1).otherwise(0))
     live = let(F.array_max(numbered), lambda last: F.slice("_events", F.greatest(last, F.lit(1)), F.size("_events")))
     role = F.element_at(F.filter(F.transform("_events", lambda e: e["role"]), lambda r: r.isNotNull()), -1)
-    rows = lists.select("conv_id", "turn", F.when(F.size(F.filter("_events", lambda e: e["role"].isNotNull())) > 0, role).otherwise("").alias("role"),
+    rows = lists.select("conv_id", *turn, F.when(F.size(F.filter("_events", lambda e: e["role"].isNotNull())) > 0, role).otherwise("").alias("role"),
                         live.alias("_live"))
     parts = F.transform("_live", lambda e: F.when(e["kind"].isin("regenerate", "delete"), "").otherwise(e["text"]))
     dropped = (F.element_at("_live", 1)["kind"] == "delete") & (F.size("_live") == 1)
-    return rows.where(~dropped).select("conv_id", "turn", "role", F.array_join(parts, "").alias("text"))
+    return rows.where(~dropped).select("conv_id", *turn, "role", F.array_join(parts, "").alias("text"))
 
 
-def rendered(messages: DataFrame) -> DataFrame:
+def rendered(messages: DataFrame, turn: Sequence[str] = ("turn",)) -> DataFrame:
     """conv_id, segments (text, loss) and formatted text of each conversation."""
     under = F.col("role") == "assistant"
-    piece = F.struct(F.col("turn").alias("turn"), escaped(F.coalesce("role", F.lit(""))).alias("role"),
+    piece = F.struct(F.struct(*turn).alias("turn"), escaped(F.coalesce("role", F.lit(""))).alias("role"),
                      escaped(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(under, F.lit(False)).alias("loss"))
     lists = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("_messages"))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
@@ -80,9 +83,9 @@ def rendered(messages: DataFrame) -> DataFrame:
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
-def format_conversations(events: DataFrame) -> DataFrame:
+def format_conversations(events: DataFrame, turn: Sequence[str] = ("turn",)) -> DataFrame:
     """conv_id, segments, formatted: each conversation of the log, folded and rendered."""
-    return rendered(folded(events))
+    return rendered(folded(events, turn), turn)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -97,9 +100,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def as_events(conversations: DataFrame) -> DataFrame:
     """The log of finished conversations (conv_id, turn, role, text): an assistant's text was streamed in pieces after a first
     piece that was thrown away, any other message was sent and then edited to what it is.  Rows that agree in conv_id and turn
-    are messages one after the other: a turn becomes (turn, number)."""
+    are messages one after the other: turn and number tell them apart."""
     number = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    turns = conversations.select("conv_id", F.struct("turn", number.alias("number")).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.select("conv_id", "turn", number.alias("number"), "role", F.coalesce("text", F.lit("")).alias("text"))
     none = F.lit(None).cast("string")
     event = lambda seq, kind, role, text: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
     length = F.greatest(F.lit(PIECE), F.ceil(F.char_length("text") / PIECES)).cast("int")
@@ -108,13 +111,13 @@ def as_events(conversations: DataFrame) -> DataFrame:
     assistant = F.concat(F.array(event(F.lit(1), "message", F.col("role"), F.lit("")), event(F.lit(2), "delta", none, F.substring("text", 1, 8)),
                                  event(F.lit(3), "regenerate", none, none)), streamed)
     other = F.array(event(F.lit(1), "message", F.col("role"), F.substring("text", 1, 8)), event(F.lit(2), "edit", none, F.col("text")))
-    rows = turns.select("conv_id", "turn", F.explode(F.when(F.col("role") == "assistant", assistant).otherwise(other)).alias("_e"))
-    return rows.select("conv_id", "_e.seq", "turn", "_e.kind", "_e.role", "_e.text")
+    rows = turns.select("conv_id", "turn", "number", F.explode(F.when(F.col("role") == "assistant", assistant).otherwise(other)).alias("_e"))
+    return rows.select("conv_id", "_e.seq", "turn", "number", "_e.kind", "_e.role", "_e.text")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, text), read back from the formatted text."""
-    out = read_back(format_conversations(as_events(conversations)))
+    out = read_back(format_conversations(as_events(conversations), MESSAGE))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                       F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),

@@ -49,7 +49,7 @@ def test_formatting_can_be_undone(spark):
     rows = [(c, t, r.choice(["user", "assistant", "system", None, "<s>", "a\nb"]), r.choice(ODD), "x", "y") for c in (0, 1, 2, None) for t in (0, 1, 1, 2, None, 3)]
     rows += [rows[0], (7, 0, "assistant", None, "x", "y"), (8, 0, "user", "only a user", "x", "y")]
     df = spark.createDataFrame(rows, CHATS)
-    shown = {x["conv_id"]: x for x in chat_format.format_conversations(chat_format.as_events(df)).collect()}
+    shown = {x["conv_id"]: x for x in chat_format.format_conversations(chat_format.as_events(df), chat_format.MESSAGE).collect()}
     got = {x["conv_id"]: tuple(x)[1:] for x in chat_format.digests(df).collect()}
     low = lambda x: (x is not None, x if x is not None else 0)
     for conv in {x[0] for x in rows}:
