@@ -11,8 +11,8 @@ through (one in 16, more beyond MOST_BITS / 16 groups); it is counted in the nex
 phrase are frequent.  Numbers are 64-bit hashes of the words, drawn anew until no two words of the corpus share one, so groups are
 exact.  Scores are, too: 10^6 a^2 is a decimal of up to 37 digits for counts below 10^15.
 
-Scale: occurrences are never shuffled, only counts that each task has summed per batch; joins of names and parts see the frequent
-phrases alone.  Memory of a task follows its longest text.  The best phrases of a language are chosen in salted parts first.
+Scale: occurrences are never shuffled, only counts that each task has summed over some texts; joins of names and parts see the frequent
+phrases alone.  A task holds CHUNK words or one text at a time.  The best phrases of a language are chosen in salted parts first.
 
 Nulls and other cases: a null text is empty; a null language is ``und`` and joins texts that say so; empty texts, pieces and
 tables give nothing; equal rows and repeated or null doc_ids are texts of their own, doc_id is never read; other columns are
@@ -40,7 +40,8 @@ LEAST, LONGEST, KEPT, COVERED_PERCENT = 10, 3, 2000, 50
 COUNT = "decimal(15,0)"  # of occurrences, so that a product of two and 10^6 stays within 38 digits
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 2**20, 2**27
 BUCKET = 32768  # fixed value: bits of one row of bitmap_construct_agg
-HASHED_WORDS = 500_000  # words whose numbers a task keeps
+HASHED_WORDS, COUNTED_WORDS = 200_000, 200_000  # words whose numbers and counts a task keeps at once
+CHUNK = 2**18  # words that a task handles at once; a longer text is a chunk of its own
 RELATION = "lang string, places array<long>, ids array<long>, alive array<boolean>"
 
 
@@ -75,15 +76,22 @@ def counted_words(docs: DataFrame, seed: int) -> DataFrame:
         import pyarrow as pa
 
         numbers = Numbers(seed)
-        for batch in batches:
-            counts: dict[str, Counter] = defaultdict(Counter)
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts[lang].update(tokens(text.as_py()))
+        counts: dict[str, Counter] = defaultdict(Counter)
+
+        def told() -> Iterator:
             for lang, own in counts.items():
                 own.pop(b".", None)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()),
                                                   pa.array([numbers[w] for w in own], pa.int64()), pa.array(list(own.values()), pa.int64())],
                                                  names=["lang", "word", "id", "a"])
+            counts.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts[lang].update(tokens(text.as_py()))
+                if sum(map(len, counts.values())) > COUNTED_WORDS:
+                    yield from told()
+        yield from told()
 
     partial = texts(docs).mapInArrow(run, "lang string, word string, id long, a long")
     return partial.groupBy("lang", "word").agg(F.max("id").alias("id"), F.sum("a").alias("a"))
@@ -144,18 +152,40 @@ def first_relation(docs: DataFrame, seed: int, bitmap: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         numbers = Numbers(seed)
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            found = [np.fromiter(map(numbers.__getitem__, tokens(t.as_py())), np.int64) for t in batch.column(1)]
+
+        def told(langs: list[str], found: list[np.ndarray]):  # noqa: ANN202
             rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            places = np.concatenate([np.arange(len(f)) for f in found])
-            ids = np.concatenate(found)
+            places, ids = np.concatenate([np.arange(len(f)) for f in found]), np.concatenate(found)
             keep = (ids != 0) & marked(sent.value, group_hash(language_hashes(langs)[rows], [ids]))
-            yield relation_batch(langs, rows[keep], places[keep], ids[keep], np.ones(int(keep.sum()), bool))
+            return relation_batch(langs, rows[keep], places[keep], ids[keep], np.ones(int(keep.sum()), bool))
+
+        for batch in batches:
+            langs, found, held = [], [], 0
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                langs.append(lang)
+                found.append(np.fromiter(map(numbers.__getitem__, tokens(text.as_py())), np.int64))
+                held += len(found[-1])
+                if held > CHUNK:
+                    yield told(langs, found)
+                    langs, found, held = [], [], 0
+            if found:
+                yield told(langs, found)
 
     return texts(docs).mapInArrow(run, RELATION)
 
 
+def chunks(batches: Iterator) -> Iterator:
+    """The batches' texts in parts of about CHUNK words."""
+    for batch in batches:
+        ends = np.asarray(batch.column(1).offsets)[1:] - np.asarray(batch.column(1).offsets)[0]
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def merge_joined(batch, length: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
     """Of texts with their frequent phrases of ``length`` words: languages, the text, place and number of each word, and the
     words from which two such phrases start one place apart."""
@@ -173,7 +203,7 @@ def counted_phrases(relation: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in chunks(batches):
             langs, rows, _, ids, starts = merge_joined(batch, length)
             if not len(starts):
                 continue
@@ -195,7 +225,7 @@ def next_relation(relation: DataFrame, length: int, bitmap: np.ndarray) -> DataF
     sent = relation.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in chunks(batches):
             langs, rows, places, ids, starts = merge_joined(batch, length)
             hashes = group_hash(language_hashes(langs)[rows[starts]], [ids[starts + j] for j in range(length + 1)])
             starts = starts[marked(sent.value, hashes)]

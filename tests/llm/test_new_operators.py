@@ -166,7 +166,9 @@ def slow_phrases(rows, least, longest, kept):
 
 
 @pytest.mark.parametrize("longest", [2, 3, 5])
-def test_collocations(spark, longest):
+def test_collocations(spark, monkeypatch, longest):
+    monkeypatch.setattr(collocations, "CHUNK", 50 * longest)
+    monkeypatch.setattr(collocations, "COUNTED_WORDS", 3 * longest)
     r = random.Random(longest)
     vocabulary = ["a", "B", "c", "é", "É", "日本", "x y", "w" * 50]
     text = lambda n: "".join(r.choice(vocabulary) + r.choice([" ", " ", " ", "\t", "  ", ", ", "\n", "!", "\r\n"]) for _ in range(n))
