@@ -79,13 +79,6 @@ def ridge(alpha: float, n: int, y_std: float, y: str, weight: str | None = None)
     return model.setWeightCol(weight) if weight else model
 
 
-def elastic_net(alpha: float, l1_ratio: float, y_std: float, y: str) -> LinearRegression:
-    """Elastic net with penalty alpha * (rho |w|_1 + (1 - rho) / 2 |w|^2) per row."""
-    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * y_std
-    return LinearRegression(labelCol=y, featuresCol="features", standardization=False, maxIter=1000, tol=1e-10,
-                            regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2) if l1 + l2 else 0.0)
-
-
 def forest(y: str, seed: int = 42, weight: str | None = None, **params) -> RandomForestRegressor:
     model = RandomForestRegressor(labelCol=y, featuresCol="features", seed=seed, **params)
     return model.setWeightCol(weight) if weight else model
@@ -157,18 +150,6 @@ def search_and_fit(make: Callable[..., object], settings: Sequence[dict], train:
     return {"model": make(**params).fit(train), "params": params, "best_score": best["mean_test_score"], "results": results}
 
 
-def fit_ridge(train: DataFrame, y: str, alphas: Sequence[float] = RIDGE_ALPHAS, **cv) -> dict:
-    n, y_std = train.agg(F.count(y), F.stddev_pop(y)).first()
-    return search_and_fit(lambda alpha: ridge(alpha, n, y_std, y), [{"alpha": a} for a in alphas], train, y, **cv)
-
-
-def fit_elastic_net(train: DataFrame, y: str, alphas: Sequence[float] = ELASTIC_ALPHAS,
-                    l1_ratios: Sequence[float] = ELASTIC_L1_RATIOS, **cv) -> dict:
-    y_std = train.agg(F.stddev_pop(y)).first()[0]
-    grid = [{"alpha": a, "l1_ratio": r} for a in alphas for r in l1_ratios]
-    return search_and_fit(lambda alpha, l1_ratio: elastic_net(alpha, l1_ratio, y_std, y), grid, train, y, **cv)
-
-
 def fit_forest(train: DataFrame, y: str, space: dict[str, list] = FOREST_SPACE, draws: int = 16,
                weight: str | None = None, seed: int = 42, **cv) -> dict:
     return search_and_fit(lambda **p: forest(y, seed, weight, **p), random_draws(space, draws, seed), train, y,

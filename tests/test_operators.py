@@ -363,7 +363,7 @@ def test_search_ranks_and_saved_model(spark):
     x, y = regression_data()
     df = frame(spark, row_id=np.arange(200), a=x[:, 0], b=x[:, 1], y=y)
     train = models.standardize_and_assemble(df, [], ["a", "b"])[0]
-    found = models.fit_ridge(train, "y", [1.0, 1e6], folds=2)
+    found = models.search_and_fit(lambda alpha: models.ridge(alpha, 100, 1.0, "y"), [{"alpha": 1.0}, {"alpha": 1e6}], train, "y", folds=2)
     assert found["params"] == {"alpha": 1.0}
     assert [r["rank_test_score"] for r in found["results"].collect()] == [1, 2]
     path = f"{shared_folder(spark)}/unit-model"
