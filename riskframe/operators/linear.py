@@ -210,7 +210,7 @@ def newton_sums(rows: DataFrame, weights: np.ndarray, betas: dict[str, np.ndarra
 
 
 def fit_logistic_grid(rows: DataFrame, weights: Sequence[tuple[int, float]], width: int, l2: float = 1e-4, rounds: int = 50,
-                      tolerance: float = 1e-9) -> dict[str, np.ndarray]:
+                      tolerance: float = 1e-7) -> dict[str, np.ndarray]:
     """Coefficients (models x width) per target: all models of all targets take a Newton step per pass over the rows.
 
     ``rows``: target, y (0 or 1), high (whether a model's loss weight applies), times (how often each draw has the row, times its
@@ -235,12 +235,12 @@ def fit_logistic_grid(rows: DataFrame, weights: Sequence[tuple[int, float]], wid
             gradient = sums[t][:, 2:2 + width] / n[:, None] + penalised * trial[t]
             hessian = (sums[t][:, 2 + width:] / n[:, None]).reshape(-1, width, width) + np.diag(penalised + 1e-12)
             for m in range(len(weights)):
-                if value[m] > best[t][m] + 1e-12 and share[t][m] > 1e-6:
+                if value[m] > best[t][m] + 1e-10 and share[t][m] > 1e-6:
                     share[t][m] /= 2
                 else:
                     here[t][m], best[t][m], share[t][m] = trial[t][m], min(value[m], best[t][m]), 1.0
                     step[t][m] = -np.linalg.solve(hessian[m], gradient[m])
-            moved = max(moved, np.abs(share[t][:, None] * step[t]).max())
+            moved = max(moved, (np.abs(share[t][:, None] * step[t]) / np.maximum(1, np.abs(here[t]))).max())
         if moved < tolerance:
             break
     return here
