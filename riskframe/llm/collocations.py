@@ -22,12 +22,13 @@ ignored.  Ties at the last rank are resolved by phrase in byte order.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import SALTS, discard, stored
@@ -41,6 +42,7 @@ COUNT = "decimal(15,0)"  # of occurrences, so that a product of two and 10^6 sta
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 2**20, 2**27
 BUCKET = 32768  # fixed value: bits of one row of bitmap_construct_agg
 HASHED_WORDS, COUNTED_WORDS = 200_000, 200_000  # words whose numbers and counts a task keeps at once
+BATCH_ROWS, ROWS_SENT = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 CHUNK = 2**18  # words that a task handles at once; a longer text is a chunk of its own
 RELATION = "lang string, places array<long>, ids array<long>, alive array<boolean>"
 
@@ -249,10 +251,26 @@ def numbered_words(docs: DataFrame) -> tuple[DataFrame, int]:
         seed += 1
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows are whole texts, so fewer of them than usual go to a Python worker at once."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(int(before), ROWS_SENT) if int(before) > 0 else ROWS_SENT)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
     """Frequent phrases by length: (lang, words, a) each, from length 1; and (lang, n), all words of a language."""
     if longest < 2 or least < 1:
         raise ValueError("longest must be at least 2 and least at least 1")
+    with small_batches(docs.sparkSession):
+        return _mine(docs, least, longest)
+
+
+def _mine(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
     counts, seed = numbered_words(docs)
     frequent = F.col("a") >= least
     names = stored(counts.where(frequent).select("lang", "id", "word", "a"), "names")
