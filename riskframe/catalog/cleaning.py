@@ -313,19 +313,18 @@ def vectorized_surgeries(spark, sf):
     return rounded(vectorize_table(raw_surgeries(spark, sf)))
 
 
-@query("""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey AS key, c_name AS name, c_acctbal AS balance FROM customer""")
+@query("""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey AS key, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name,
+  c_acctbal AS balance FROM customer""")
 def csv_round_trip(spark, sf):
-    """Customers written as CSV, read back as text, numbered and typed."""
+    """Customers written as CSV files of doubling size, read back as text with missing words, numbered in file order and typed."""
     import uuid
 
     from riskframe.session import shared_folder
     from riskframe.sources import tables
     path = f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}"
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    tables.write_table(c.orderBy("key"), path, "csv")
-    back = tables.with_row_id(tables.read_table(spark, path, multi_line=False))
-    # files of a folder carry no order of their own, so the numbers are given by key
-    ranked = back.select(F.col("key").cast("bigint").alias("key"), "name", scalars.to_double(F.col("balance")).alias("balance"), "row_id")
-    if ranked.agg(F.max("row_id") + 1 - F.count_distinct("row_id")).first()[0] != 0:
-        raise ValueError("row numbers are not consecutive")
-    return ranked.withColumn("row_id", F.col("key") - F.lit(ranked.agg(F.min("key")).first()[0]))
+    name = F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).otherwise(F.when(F.col("c_custkey") % 2 > 0, "N/A").otherwise("nan"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), name.alias("name"), F.col("c_acctbal").alias("balance"))
+    spread = c.repartitionByRange(16, F.floor(F.log2(F.col("key") + 1))).sortWithinPartitions("key")
+    tables.write_table(spread, path, "csv")
+    back = tables.with_row_id(tables.read_table(spark, path))
+    return back.select("row_id", F.col("key").cast("bigint").alias("key"), "name", scalars.to_double(F.col("balance")).alias("balance"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from riskframe.catalog.common import MATRIX, WEEKS, outcome_matrix, query, rounded, table
+from riskframe.catalog.common import MATRIX, MATRIX_CTE, WEEKS, outcome_matrix, query, rounded, table
 from riskframe.catalog.sampling import SEED, order_by
 from riskframe.operators import evaluate, linear, models, policy, schema
 from riskframe.plans.outcomes import matrix_targets
@@ -286,13 +286,32 @@ def ridge_search_one_feature(spark, sf):
     return rounded(linear.search_ridge(rows, ["x"], "y", seed=SEED)["results"].drop("params", "rank_test_score"), 3)
 
 
-@query()
+@query(f"""WITH {MATRIX_CTE} SELECT row_id, {_TARGET}, true AS mean_is_prediction, true AS quantiles_ordered, true AS within_targets
+FROM matrix WHERE {_TARGET} IS NOT NULL""")
 def forest_quantiles(spark, sf):
-    """Forest with mean and tree quantiles per row."""
+    """Forest with mean and tree quantiles per row, and the laws they obey."""
     _, train = _features(spark, sf)
-    model = models.forest(_TARGET, SEED, numTrees=20, maxDepth=5).fit(train)
-    out = policy.tree_quantiles(model, train, [0.5, 0.8], f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}")
-    return rounded(out.select("row_id", _TARGET, "mean", "q50", "q80"))
+    model = models.forest(_TARGET, SEED, numTrees=100, maxDepth=10).fit(train)
+    out = policy.tree_quantiles(model, train, [0.2, 0.5, 0.8], f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}")
+    ends = train.agg(F.min(_TARGET).alias("lo"), F.max(_TARGET).alias("hi")).first()
+    return out.select("row_id", _TARGET, (F.abs(F.col("mean") - F.col("prediction")) <= 1e-9 * F.abs("mean")).alias("mean_is_prediction"),
+                      ((F.col("q20") <= F.col("q50")) & (F.col("q50") <= F.col("q80"))).alias("quantiles_ordered"),
+                      ((F.col("q20") >= ends["lo"] - 1e-9) & (F.col("q80") <= ends["hi"] + 1e-9)).alias("within_targets"))
+
+
+@query(f"""WITH {MATRIX_CTE} SELECT row_id, true AS scored, true AS same_as_run FROM matrix""")
+def saved_forest(spark, sf):
+    """A tail-aware run saved, loaded again and applied to all raw rows; test rows get the run's own predictions."""
+    from riskframe.plans.runs import predict_saved, train_forest
+    kept, _ = schema.temporal_filter(MATRIX, _TARGET, WEEKS)
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    matrix = outcome_matrix(spark, sf).persist()
+    run = train_forest(matrix, _TARGET, kept, SEED, settings=[{"numTrees": 100, "maxDepth": 10}], weight_mode="tail", quantiles="0.50,0.70",
+                       calibrate=True, high=60.0, severe=90.0, work_dir=f"{path}/work", bundle_dir=path)
+    again = predict_saved(matrix, path, "again").select("row_id", "again")
+    same = F.coalesce(F.abs(F.col("again") - F.col("y_pred")) <= 1e-9 * F.abs("y_pred"), F.col("y_pred").isNull())
+    return again.join(run["predictions"].select("row_id", "y_pred"), "row_id", "left").select(
+        "row_id", F.col("again").isNotNull().alias("scored"), same.alias("same_as_run"))
 
 
 @query()

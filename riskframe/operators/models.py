@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
@@ -12,13 +13,16 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressor, IsotonicRegressionModel, LinearRegression, RandomForestRegressionModel,
+                                   RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import scalars
-from riskframe.operators.impute import apply_standardizer, column_medians, fill_median, fit_standardizer
+from riskframe.operators import schema
+from riskframe.operators.impute import apply_standardizer, column_medians, fill_median, fit_standardizer, impute_at_inference
 from riskframe.operators.ordering import exact_quantiles
+from riskframe.operators.policy import leaf_table, predict_with_policy, tree_quantiles
 from riskframe.operators.splits import kfold, weighted_resample
 
 # Search spaces and grids.
@@ -60,10 +64,16 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
-def impute_and_assemble(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str]) -> list[DataFrame]:
-    """Training medians fill every part; columns without any value become 0."""
-    medians = {c: 0.0 if m is None else m for c, m in column_medians(train, cols).items()}
-    return [assemble(fill_median(d, cols, medians), cols) for d in (train, *others)]
+def fill_values(train: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Training medians; columns without any value become 0."""
+    return {c: 0.0 if m is None else float(m) for c, m in column_medians(train, cols).items()}
+
+
+def impute_and_assemble(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str],
+                        fills: dict[str, float] | None = None) -> list[DataFrame]:
+    """Training medians, or given fill values, fill every part."""
+    fills = fill_values(train, cols) if fills is None else fills
+    return [assemble(fill_median(d, cols, fills), cols) for d in (train, *others)]
 
 
 def standardize_and_assemble(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str],
@@ -218,27 +228,67 @@ def coefficients(model, names: Sequence[str], spark) -> DataFrame:
     return importance_table(spark, names, model.coefficients.toArray(), "coefficient")
 
 
-def save_model(model, path: str, policy: dict, features: Sequence[str], spark) -> None:
-    """Model, optional calibrator, policy and feature list under one folder."""
+def save_model(model, path: str, policy: dict, features: Sequence[str], spark, fills: dict[str, float] | None = None,
+               target: str | None = None) -> None:
+    """One folder that scores raw rows: native model, policy, calibrator, features, their fill values, and a forest's leaf table."""
     bundle = model if isinstance(model, PipelineModel) else PipelineModel([model])
     bundle.write().overwrite().save(f"{path}/model")
+    trees = [s.uid for s in bundle.stages if isinstance(s, RandomForestRegressionModel)]
+    for uid in trees[-1:]:
+        nodes = spark.read.parquet(f"{path}/model/stages/*_{uid}/data")
+        leaf_table(nodes).write.mode("overwrite").parquet(f"{path}/leaves")
     calibrator = policy.get("calibrator")
     if calibrator is not None:
         calibrator.write().overwrite().save(f"{path}/calibrator")
     facts = {k: v for k, v in policy.items() if isinstance(v, (str, int, float, bool, list, type(None))) and k != "calibrator"}
-    doc = json.dumps({"policy": facts, "features": list(features), "has_calibrator": calibrator is not None},
-                     ensure_ascii=False)
+    doc = json.dumps({"policy": facts, "features": list(features), "has_calibrator": calibrator is not None, "target": target,
+                      "fills": fills, "has_leaves": bool(trees)}, ensure_ascii=False)
     spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/policy")
 
 
 def load_model(path: str, spark) -> dict:
     doc = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/policy").collect()))
-    from pyspark.ml.regression import IsotonicRegressionModel
     calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if doc["has_calibrator"] else None
-    return {"model": PipelineModel.load(f"{path}/model"), "features": doc["features"],
+    return {"model": PipelineModel.load(f"{path}/model"), "features": doc["features"], "fills": doc.get("fills"),
+            "target": doc.get("target"), "leaves": spark.read.parquet(f"{path}/leaves") if doc.get("has_leaves") else None,
             "policy": {**doc["policy"], "calibrator": calibrator}}
 
 
+def score_bundle(bundle: dict, df: DataFrame, out: str = "y_pred", fill: str = "training") -> DataFrame:
+    """Rows of a raw table with the prediction of a loaded bundle.
+
+    NULLs of the features become the training medians (``fill="training"``) or
+    the medians of the table being scored (``"table"``).  The bundle's policy
+    (mean or a quantile of the trees) and calibrator decide the prediction.  All
+    columns of the table stay as they are; one named like ``out`` is an error.
+    """
+    features, policy = bundle["features"], bundle["policy"]
+    schema.require_columns(df, features)
+    quantile = re.fullmatch(r"q(\d\d)", policy["policy"])
+    qs = [int(quantile[1]) / 100] if quantile else []
+    if out in df.columns or {"features", "_raw"} & set(features):
+        raise ValueError(f"a column is named like a result: {out}, features or _raw")
+    if quantile and bundle["leaves"] is None:
+        raise ValueError(f"policy {policy['policy']} needs a forest")
+    quoted = lambda cols: [F.col(f"`{c}`") for c in cols]
+    rows = df.select(F.struct(*quoted(df.columns)).alias("_raw"), *quoted(features))
+    if fill == "table":
+        rows = impute_at_inference(rows, features)
+    elif bundle["fills"] is None:
+        raise ValueError("the bundle has no training medians")
+    else:
+        rows = fill_median(rows, features, bundle["fills"])
+    rows = assemble(rows, features).select("_raw", "features")
+    model = bundle["model"]
+    if quantile:
+        *before, last = model.stages
+        scored = tree_quantiles(last, PipelineModel(before).transform(rows), qs, bundle["leaves"])
+    else:
+        scored = model.transform(rows).withColumnRenamed("prediction", policy["policy"])
+    done = predict_with_policy(scored, policy, out)
+    return done.select("_raw.*", out)
+
+
 def summarize_overview(overview: DataFrame, run: Sequence[str] = ("run_id",),
                        metrics: Sequence[str] = MEAN_METRICS) -> DataFrame:
     """Mean metrics per run, over all targets and over the pain targets."""

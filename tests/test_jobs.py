@@ -214,3 +214,88 @@ def test_many_labels_and_levels(spark):
     assert labels.one_hot_long(df, "m", min_count=1).count() == 5_100
     levels = spark.createDataFrame([("d", float(i), 1) for i in range(10_050)], "drug string, level double, count long")
     assert len(profile.pivot_counts(levels, ["drug"], "level", "count").columns) == 10_051
+
+
+def test_row_ids_over_files_of_unequal_size(spark, tmp_path):
+    """Files count by path, whatever their size, and stretches of a file by their place."""
+    sizes, lines = [3000, 1, 0, 40_000, 7], []
+    for i, n in enumerate(sizes):
+        own = [f"{i}-{j}" for j in range(n)]
+        lines += own
+        (tmp_path / f"part-{i}.csv").write_text("v\n" + "".join(f"{v}\n" for v in own), encoding="utf-8")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 30_000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 10)
+        df = tables.with_row_id(tables.read_table(spark, str(tmp_path)))
+        assert df.rdd.getNumPartitions() > 5
+        got = {r["row_id"]: r["v"] for r in df.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(lines))
+
+
+def test_row_ids_of_an_empty_table(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("a.b,c\n", encoding="utf-8")
+    out = tables.with_row_id(tables.read_table(spark, str(tmp_path / "e.csv")))
+    assert out.columns == ["a.b", "c", "row_id"] and out.count() == 0
+
+
+def test_missing_words_become_null(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("a,b\nNA,none\nnan,0\nN/A,\n<NA>,None\n", encoding="utf-8")
+    path = str(tmp_path / "m.csv")
+    assert [tuple(r) for r in tables.read_table(spark, path).collect()] == [(None, "none"), (None, "0"), (None, None), (None, None)]
+    assert tables.read_table(spark, path, missing=()).first()["a"] == "NA"
+
+
+def test_saved_run_scores_raw_rows(spark, tmp_path):
+    """Bundle with medians, leaf table and calibrator: reloaded, it repeats the run's predictions."""
+    from riskframe.operators import models
+    from riskframe.plans.runs import predict_saved, train_forest
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = np.round(np.clip(4 + 2 * x[:, 0], 0, 10))
+    rows = [(i, None if i % 9 == 0 else float(x[i, 0]), str(round(x[i, 1], 3)), float(y[i]), "kept") for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, a double, `b.c` string, y double, prediction string").withColumnRenamed("b.c", "b")
+    path = str(tmp_path / "bundle")
+    for quantiles, metric in (("0.5,0.7", "combined"), ("", "mae")):
+        run = train_forest(df, "y", ["a", "b"], settings=[{"numTrees": 15, "maxDepth": 5}], quantiles=quantiles, calibrate=True, metric=metric,
+                           folds=2, work_dir=str(tmp_path / "work"), bundle_dir=path)
+        again = predict_saved(df, path, "again")
+        assert again.columns == [*df.columns, "again"] and again.where("a IS NULL").count() == 45
+        assert again.select(*df.columns).exceptAll(df).isEmpty()
+        both = run["predictions"].join(again, "row_id").select("y_pred", "again").toPandas()
+        assert len(both) == 40
+        np.testing.assert_allclose(both["again"], both["y_pred"], rtol=1e-9)
+        assert predict_saved(df, path, "again", fill="table").count() == 400
+    bundle = models.load_model(path, spark)
+    assert bundle["target"] == "y" and set(bundle["fills"]) == {"a", "b"}
+    with pytest.raises(ValueError):
+        models.score_bundle(bundle, df, "prediction")
+    with pytest.raises(ValueError):
+        models.score_bundle(bundle, df.drop("a"))
+    with pytest.raises(ValueError):
+        models.score_bundle({**bundle, "policy": {"policy": "q50", "calibrator": None}, "leaves": None}, df)
+
+
+def test_saved_quantile_policy(spark, tmp_path):
+    """A quantile policy is answered from the stored leaf table, also by the shuffled join."""
+    from riskframe.operators import models, policy
+    rows = [(float(i % 17), float(i % 5), float(i % 17) * 2 + i % 3) for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    train = models.impute_and_assemble(df, [], ["a", "b"])[0]
+    model = models.forest("y", numTrees=9, maxDepth=4).fit(train)
+    models.save_model(model, str(tmp_path), {"policy": "q75"}, ["a", "b"], spark, {"a": 1.0, "b": 0.0})
+    bundle = models.load_model(str(tmp_path), spark)
+    got = models.score_bundle(bundle, df).toPandas()
+    trees = np.column_stack([[t.predict(v) for v in train.toPandas()["features"]] for t in model.trees])
+    want = {(a, b): q for (a, b, _), q in zip(rows, np.quantile(trees, 0.75, axis=1))}
+    assert len(got) == 600
+    np.testing.assert_allclose(got["y_pred"], [want[k] for k in zip(got["a"], got["b"])])
+    kept, policy.LEAF_BROADCAST = policy.LEAF_BROADCAST, 0
+    try:
+        shuffled = models.score_bundle(bundle, df).toPandas()
+    finally:
+        policy.LEAF_BROADCAST = kept
+    np.testing.assert_allclose(shuffled["y_pred"], [want[k] for k in zip(shuffled["a"], shuffled["b"])])
