@@ -3,7 +3,7 @@
 Each stage takes the documents that its predecessor kept and returns documents with the same columns, the last one a row
 per document with its shard.  Decisions travel to the texts as short tables: the rows to drop are broadcast when a count
 shows that they are few, else joined.  Equal doc_ids are told apart by a hash of the text; null doc_ids and texts stay
-documents like others; empty tables pass through.
+documents like others; empty tables pass through.  Further columns travel along, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,11 +15,21 @@ from riskframe.llm import decontaminate, jaccard_join, mixing, quality, sharding
 from riskframe.llm.common import BROADCAST_ROWS, n_words, stored, table
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents that are not among ``gone`` (doc_id, _h)."""
-    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k")).distinct(), "gone")
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``docs`` has, whatever their case."""
+    taken = [c.lower() for c in docs.columns]
+    mark = "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Documents that are not (``left_semi``: that are) among ``gone`` (doc_id, _h)."""
+    key, digest = _fresh(docs, "id", "h")
+    gone = stored(gone.select(F.col("doc_id").alias(key), F.col("_h").alias(digest)).distinct(), "gone")
     right = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(right, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti")
+    return docs.join(right, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)), how)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +51,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     twice = stored(rows.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "twice")
     if twice.isEmpty():
         return kept
-    again = kept.withColumn("_h", F.xxhash64("text")).join(twice.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi")
-    return _without(kept, twice).unionByName(again.dropDuplicates(["doc_id", "_h"]).drop("_h"))
+    digest, = _fresh(docs, "digest")
+    again = _without(kept, twice, "left_semi").withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest])
+    return _without(kept, twice).unionByName(again.drop(digest))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +66,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as many times (0 to 2) as the mix takes its words, to the nearest whole number."""
     keys = ["doc_id", "source", "size"]
     taken = mixing.taken_words(docs).groupBy(*keys).agg((F.sum("taken") / F.sum("size")).alias("_times")).where("size > 0")
-    copies = taken.select(*[F.col(k).alias(f"_{k}") for k in keys], F.floor(F.col("_times") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    sized = docs.withColumn("size_", n_words(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(F.col("_doc_id")) & sized["source"].eqNullSafe(F.col("_source")) & (sized["size_"] == F.col("_size"))
-    out = sized.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    doc_id, source, size, copies, words, copy = _fresh(docs, "doc_id", "source", "size", "copies", "words", "copy")
+    times = taken.select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("size").alias(size),
+                         F.floor(F.col("_times") + 0.5).cast("int").alias(copies)).where(F.col(copies) > 0)
+    sized = docs.withColumn(words, n_words(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    out = sized.join(times, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*docs.columns)
 
 
