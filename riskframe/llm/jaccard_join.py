@@ -331,6 +331,11 @@ def remaining_pairs(open_: DataFrame, own: DataFrame, off: DataFrame) -> DataFra
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; ``_h`` tells equal doc_ids apart."""
+    return classes(docs).drop("_class")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with ``_class``, which differs between components even where their least doc_ids are equal or null."""
     sets = stored(with_sets(docs), "sets")
     tokens = stored(shared_tokens(index_rows(docs)), "tokens")
     shared = stored(with_partners(tokens, sets), "shared")
@@ -358,4 +363,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = attach(sets, roots.withColumnRenamed("node", "set"), ["set"], "left").withColumn("_c", F.coalesce("root", "set"))
     least = rows.where(F.col("_c").isNotNull()).groupBy("_c").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     out = attach(rows, stored(least.select("_c", "_least"), "classes"), ["_c"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"), "_h")
+    return out.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"), "_h", F.col("_c").alias("_class"))
