@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import decontaminate, jaccard_join, mixing, quality, sharding
-from riskframe.llm.common import BROADCAST_ROWS, n_words, stored, table
+from riskframe.llm.common import BROADCAST_ROWS, attach, n_words, stored, table
 
 
 def _fresh(docs: DataFrame, *names: str) -> list[str]:
@@ -39,14 +39,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest doc_id; documents without words stay."""
-    rows = stored(jaccard_join.near_duplicates(docs), "near").where("n_shingles > 0")
+    rows = stored(jaccard_join.classes(docs), "near").where("n_shingles > 0")
     id_last = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_h")
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("_h")).alias("h"))
-    first = rows.groupBy(group.alias("_g")).agg(F.min(id_last).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = stored(first.select(F.col("_g.component_id").alias("_c"), F.col("_g.h").alias("_ch"), F.col("_first.doc_id").alias("_fid"), F.col("_first._h").alias("_fh")), "firsts")
-    right = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
-    in_group = F.col("component_id").eqNullSafe(F.col("_c")) & (F.col("_c").isNotNull() | (F.col("_h") == F.col("_ch")))
-    later = rows.join(right, in_group).where(~(F.col("doc_id").eqNullSafe(F.col("_fid")) & (F.col("_h") == F.col("_fh"))))
+    first = rows.groupBy("_class").agg(F.min(id_last).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = stored(first.select("_class", F.col("_first.doc_id").alias("_fid"), F.col("_first._h").alias("_fh")), "firsts")
+    later = attach(rows, first, ["_class"]).where(~(F.col("doc_id").eqNullSafe(F.col("_fid")) & (F.col("_h") == F.col("_fh"))))
     kept = _without(docs, later)
     twice = stored(rows.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "twice")
     if twice.isEmpty():
@@ -87,7 +84,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("sharding", assign_shards),
 ]
-ORACLE_SQL = None  # a trained classifier is no SQL; tests compare the stages with brute force
+ORACLE_SQL = None  # a trained classifier is no SQL; tests/llm/test_pipeline.py compares the stages with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
