@@ -323,22 +323,36 @@ def isotonic_calibration(spark, sf):
     return rounded(out.groupBy("l_returnflag").agg(F.avg(F.abs(F.col("y_true") - F.col("calibrated"))).alias("mae"), F.count(F.lit(1)).alias("n")))
 
 
-@query()
+@query(f"""WITH {MATRIX_CTE} SELECT '{_TARGET}' AS target_column, count({_TARGET})::BIGINT AS n_samples, 16::BIGINT AS n_settings,
+  16::BIGINT AS n_distinct_settings, true AS parts_add_up, true AS best_is_first, true AS lawful_errors, true AS within_targets FROM matrix""")
 def forest_run(spark, sf):
-    """Tail-aware forest run: search, residual refit, quantile policy, calibration, metrics."""
+    """Tail-aware forest run (16 settings, 4 folds, residual refit, quantile policy, calibration): its size and the laws its outputs obey."""
     from riskframe.plans.runs import train_forest
     kept, _ = schema.temporal_filter(MATRIX, _TARGET, WEEKS)
-    run = train_forest(outcome_matrix(spark, sf), _TARGET, kept, SEED, weight_mode="focal_residual",
-                       quantiles="0.50,0.70", calibrate=True, high=60.0, severe=90.0,
+    matrix = outcome_matrix(spark, sf).persist()
+    run = train_forest(matrix, _TARGET, kept, SEED, weight_mode="focal_residual", quantiles="0.50,0.70", calibrate=True, high=60.0, severe=90.0,
                        work_dir=f"{shared_folder(spark)}/run-{uuid.uuid4().hex}")
-    return rounded(run["metrics"].drop("hyperparameter_search", "prediction_policy"))
-
-
-@query()
+    best = F.max("mean_test_score")
+    search = run["search"].agg(F.count(F.lit(1)).alias("n_settings"), F.count_distinct("params").alias("n_distinct_settings"),
+                               ((best == F.lit(run["best_score"])) & (best < 0) & (F.min("rank_test_score") == 1)).alias("best_is_first"))
+    ends = matrix.agg(F.min(_TARGET).alias("lo"), F.max(_TARGET).alias("hi")).first()
+    inside = run["predictions"].agg(F.bool_and(F.col("y_pred").between(ends["lo"] - 1e-9, ends["hi"] + 1e-9)).alias("within_targets"))
+    laws = run["metrics"].select("target_column", "n_samples",
+                                 (F.col("train_size") + F.col("val_size") + F.col("test_size") == F.col("n_samples")).alias("parts_add_up"),
+                                 ((F.col("mae") >= 0) & (F.col("mae") <= F.col("rmse") + 1e-9) & (F.col("r2") <= 1)).alias("lawful_errors"))
+    keyed = [d.withColumn("_k", F.lit(1)) for d in (laws, search, inside)]  # one row each
+    return keyed[0].join(keyed[1], "_k").join(keyed[2], "_k").drop("_k")
+
+
+@query(f"SELECT unnest({schema.temporal_filter(MATRIX, _TARGET, WEEKS)[0]}) AS feature, 16::BIGINT AS n_settings, true AS is_share, true AS shares_add_up")
 def boosted_importance(spark, sf):
+    """Features of the best of 16 boosting settings (4 folds, early stopping): importances are shares of one whole, or all 0 without any split."""
     kept, train = _features(spark, sf)
     found = models.fit_boosted(train, _TARGET)
-    return rounded(models.feature_importance(found["model"], kept, spark))
+    shares = models.feature_importance(found["model"], kept, spark)
+    whole = float(sum(found["model"].featureImportances.toArray()))
+    return shares.select("feature", F.lit(found["results"].count()).cast("long").alias("n_settings"), F.col("importance").between(0, 1).alias("is_share"),
+                         F.lit(abs(whole - 1) < 1e-9 or whole == 0).alias("shares_add_up"))
 
 
 def _vectors(spark, sf):

@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -24,6 +25,7 @@ from riskframe.operators.impute import apply_standardizer, column_medians, fill_
 from riskframe.operators.ordering import exact_quantiles
 from riskframe.operators.policy import leaf_table, predict_with_policy, tree_quantiles
 from riskframe.operators.splits import kfold, weighted_resample
+from riskframe.session import shared_folder
 
 # Search spaces and grids.
 RIDGE_ALPHAS = [0.1, 1.0, 3.0, 10.0, 30.0, 100.0]
@@ -46,6 +48,8 @@ BOOSTED_SPACE = {
 }
 OVERSAMPLE_GRID = [2.5 + 0.5 * i for i in range(6)]
 LOSS_GRID = [2.0 + 0.5 * i for i in range(17)]
+ROWS_PER_TASK = 50_000  # of a stored training part, so that small parts are not fitted in many tiny tasks
+STOP_ROWS = "_stop"
 MEAN_METRICS = ["auc", "accuracy", "precision", "recall", "specificity", "fpr", "f1", "log_loss", "brier"]
 
 
@@ -90,7 +94,7 @@ def ridge(alpha: float, n: int, y_std: float, y: str, weight: str | None = None)
 
 
 def forest(y: str, seed: int = 42, weight: str | None = None, **params) -> RandomForestRegressor:
-    model = RandomForestRegressor(labelCol=y, featuresCol="features", seed=seed, **params)
+    model = RandomForestRegressor(labelCol=y, featuresCol="features", seed=seed, cacheNodeIds=True, **params)
     return model.setWeightCol(weight) if weight else model
 
 
@@ -116,33 +120,53 @@ def mean_abs_errors(scored: DataFrame, y: str) -> float:
     return scored.agg(F.avg(F.abs(F.col(y) - F.col("prediction")))).first()[0]
 
 
+def fit_cost(setting: dict) -> float:
+    """Size of a fit relative to other settings of its search: trees times depth; 1 where a setting has neither."""
+    trees = setting.get("numTrees", setting.get("maxIter", 1))
+    return float(trees) * float(setting.get("maxDepth", 1))
+
+
+def stored_folds(train: DataFrame, folds: int, seed: int, id_col: str) -> DataFrame:
+    """The training part with its ``fold``, written once to the shared folder in tasks of at least ROWS_PER_TASK rows."""
+    shared_folder(train.sparkSession)
+    part = kfold(train, folds, seed, id_col).checkpoint()
+    return part.coalesce(max(1, -(-part.count() // ROWS_PER_TASK)))
+
+
 def cross_validate(make: Callable[..., object], settings: Sequence[dict], train: DataFrame, y: str, folds: int = 4,
-                   seed: int = 42, id_col: str = "row_id", parallelism: int = 4) -> DataFrame:
+                   seed: int = 42, id_col: str = "row_id", parallelism: int = 8) -> DataFrame:
     """One row per setting: mean and deviation of the test and train scores, rank.
 
-    The score is the negative mean absolute error.  Fits of different settings
-    and folds run side by side on the cached training part.
+    The score is the negative mean absolute error.  Every fit of a setting and a
+    fold reads the stored part, and one job gives its two scores.  Fits run side
+    by side, the largest first and each in a scheduler pool of its own, so that
+    a long fit neither comes last nor holds the others up.
     """
-    part = kfold(train, folds, seed, id_col).persist()
+    spark = train.sparkSession
+    part = stored_folds(train, folds, seed, id_col).persist()
+    jobs = sorted(itertools.product(range(len(settings)), range(folds)), key=lambda job: -fit_cost(settings[job[0]]))
 
     def one(job: tuple[int, int]) -> tuple[int, float, float]:
         i, fold = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i}-{fold}")
         model = make(**settings[i]).fit(part.where(F.col("fold") != fold))
-        return (i, -mean_abs_errors(model.transform(part.where(F.col("fold") == fold)), y),
-                -mean_abs_errors(model.transform(part.where(F.col("fold") != fold)), y))
+        error = F.abs(F.col(y) - F.col("prediction"))
+        scores = model.transform(part).agg(F.avg(F.when(F.col("fold") == fold, error)).alias("test"),
+                                           F.avg(F.when(F.col("fold") != fold, error)).alias("train")).first()
+        return (i, *(None if v is None else -v for v in scores))
 
     try:
         with ThreadPool(parallelism) as pool:
-            done = pool.map(one, list(itertools.product(range(len(settings)), range(folds))))
+            done = pool.map(inheritable_thread_target(spark)(one), jobs, 1)
     finally:
         part.unpersist()
-    scores = train.sparkSession.createDataFrame(done, "setting int, test double, train double")
-    names = train.sparkSession.createDataFrame(
+    scores = spark.createDataFrame(done, "setting int, test double, train double")
+    names = spark.createDataFrame(
         [(i, json.dumps(s, sort_keys=True)) for i, s in enumerate(settings)], "setting int, params string")
     table = scores.groupBy("setting").agg(
         F.avg("test").alias("mean_test_score"), F.stddev_pop("test").alias("std_test_score"),
         F.avg("train").alias("mean_train_score"), F.stddev_pop("train").alias("std_train_score"))
-    return search_results(table.join(names, "setting"))
+    return search_results(table.join(names, "setting").checkpoint())
 
 
 def search_results(table: DataFrame) -> DataFrame:
@@ -166,9 +190,32 @@ def fit_forest(train: DataFrame, y: str, space: dict[str, list] = FOREST_SPACE,
                           seed=seed, **cv)
 
 
+def with_stop_rows(train: DataFrame, seed: int = 42, id_col: str = "row_id", share: int = 10) -> DataFrame:
+    """Mark about one of ``share`` rows, by a hash of the id, for watching when boosting stops to gain (STOP_ROWS)."""
+    return train.withColumn(STOP_ROWS, F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(share)) == 0)
+
+
+class EarlyStopping:
+    """A booster whose rounds end with the first one that makes the error on the marked rows worse.
+
+    Rows without both marked and unmarked ones among them are fitted over all rounds.
+    """
+
+    def __init__(self, model: GBTRegressor):
+        self.model = model
+
+    def fit(self, rows: DataFrame):
+        marked = rows.agg(F.count_if(F.col(STOP_ROWS)).alias("m"), F.count_if(~F.col(STOP_ROWS)).alias("u")).first()
+        if not marked["m"] or not marked["u"]:
+            return self.model.fit(rows)
+        return self.model.copy().setParams(validationIndicatorCol=STOP_ROWS, validationTol=0.0).fit(rows)
+
+
 def fit_boosted(train: DataFrame, y: str, space: dict[str, list] = BOOSTED_SPACE, draws: int = 16, seed: int = 42,
-                **cv) -> dict:
-    return search_and_fit(lambda **p: boosted(y, seed, **p), random_draws(space, draws, seed), train, y, seed=seed, **cv)
+                id_col: str = "row_id", **cv) -> dict:
+    """Search over boosted trees; ``maxIter`` is the most rounds, early stopping on marked training rows decides how many are kept."""
+    return search_and_fit(lambda **p: EarlyStopping(boosted(y, seed, **p)), random_draws(space, draws, seed),
+                          with_stop_rows(train, seed, id_col), y, seed=seed, id_col=id_col, **cv)
 
 
 def class_weight(neg: float, pos: float, mode: str = "balanced", cap: float = 10.0) -> float:
