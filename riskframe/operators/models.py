@@ -14,8 +14,8 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (GBTRegressor, IsotonicRegressionModel, LinearRegression, RandomForestRegressionModel,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, IsotonicRegressionModel, LinearRegression,
+                                   RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,13 +93,41 @@ def ridge(alpha: float, n: int, y_std: float, y: str, weight: str | None = None)
     return model.setWeightCol(weight) if weight else model
 
 
+class LazyForestModel(RandomForestRegressionModel):
+    """A fitted forest that wraps its trees in Python when asked for them.
+
+    The parent keeps them as a cached attribute that is read whenever the model's parameters are listed, which takes
+    minutes of calls into the JVM for hundreds of trees.
+    """
+
+    @property
+    def trees(self) -> list:
+        return RandomForestRegressionModel.trees.func(self)
+
+
+class LazyForest(RandomForestRegressor):
+    def _create_model(self, java_model) -> LazyForestModel:
+        return LazyForestModel(java_model)
+
+
+class LazyBoostedModel(GBTRegressionModel):
+    @property
+    def trees(self) -> list:
+        return GBTRegressionModel.trees.func(self)
+
+
+class LazyBoosted(GBTRegressor):
+    def _create_model(self, java_model) -> LazyBoostedModel:
+        return LazyBoostedModel(java_model)
+
+
 def forest(y: str, seed: int = 42, weight: str | None = None, **params) -> RandomForestRegressor:
-    model = RandomForestRegressor(labelCol=y, featuresCol="features", seed=seed, cacheNodeIds=True, **params)
+    model = LazyForest(labelCol=y, featuresCol="features", seed=seed, cacheNodeIds=True, **params)
     return model.setWeightCol(weight) if weight else model
 
 
 def boosted(y: str, seed: int = 42, **params) -> GBTRegressor:
-    return GBTRegressor(labelCol=y, featuresCol="features", seed=seed, **params)
+    return LazyBoosted(labelCol=y, featuresCol="features", seed=seed, **params)
 
 
 def random_draws(space: dict[str, list], n: int, seed: int = 42) -> list[dict]:

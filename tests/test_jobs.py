@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import registry
+from riskframe.operators import models, registry
 from riskframe.plans.vectorize import vectorize_table
 from riskframe.sources import tables
 
@@ -299,3 +299,39 @@ def test_saved_quantile_policy(spark, tmp_path):
     finally:
         policy.LEAF_BROADCAST = kept
     np.testing.assert_allclose(shuffled["y_pred"], [want[k] for k in zip(shuffled["a"], shuffled["b"])])
+
+
+def _signal(spark, n: int = 240):
+    rows = spark.range(n).withColumnRenamed("id", "row_id").withColumns({"a": (F.col("row_id") * 37 % 101).cast("double"), "b": (F.col("row_id") * 53 % 7).cast("double")})
+    return models.assemble(rows.withColumn("y", F.col("a") * 2 + F.col("b")), ["a", "b"])
+
+
+def test_search_scores_are_those_of_single_fits(spark):
+    train = _signal(spark)
+    settings = [{"numTrees": 5, "maxDepth": 2}, {"numTrees": 8, "maxDepth": 4}]
+    make = lambda **p: models.forest("y", 7, **p)
+    got = {r["setting"]: r for r in models.cross_validate(make, settings, train, "y", folds=3, seed=7).collect()}
+    part = models.stored_folds(train, 3, 7, "row_id")
+    for i, setting in enumerate(settings):
+        tests = []
+        for fold in range(3):
+            model = make(**setting).fit(part.where(F.col("fold") != fold))
+            tests.append(-models.mean_abs_errors(model.transform(part.where(F.col("fold") == fold)), "y"))
+        assert got[i]["mean_test_score"] == pytest.approx(sum(tests) / 3)
+    assert got[1]["rank_test_score"] == 1
+
+
+def test_forest_wraps_its_trees_when_asked(spark):
+    model = models.forest("y", 7, numTrees=5, maxDepth=2).fit(_signal(spark))
+    assert "trees" not in {p.name for p in model.params}
+    assert len(model.trees) == model.getNumTrees == 5 and model.copy().getNumTrees == 5
+
+
+def test_boosting_stops_when_marked_rows_gain_no_more(spark):
+    noise = _signal(spark).withColumn("y", F.pmod(F.xxhash64("row_id"), F.lit(1000)).cast("double")).persist()
+    found = models.fit_boosted(noise, "y", {"maxIter": [40], "maxDepth": [3], "stepSize": [0.5]}, draws=1, folds=2)
+    assert found["params"]["maxIter"] == 40 and 1 <= found["model"].getNumTrees < 40
+    marked = models.with_stop_rows(noise).where(F.col(models.STOP_ROWS)).count()
+    assert 0 < marked < 60
+    unmarked = noise.withColumn(models.STOP_ROWS, F.lit(False))
+    assert models.EarlyStopping(models.boosted("y", maxIter=4, maxDepth=2)).fit(unmarked).getNumTrees == 4
