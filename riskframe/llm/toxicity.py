@@ -6,7 +6,7 @@ lower-cased and stripped of signs at their ends, and their prefixes of 3 to 7 ch
 feature's value is the number of distinct words that have it.
 
 The labels say only toxic or not.  The grade of a toxic training text is the number of its words that occur with toxic
-labels alone (in at least MARKED_IN training texts): up to 2, up to 5, more.
+labels alone (in at least MARKED_IN training texts of the whole sample): up to 2, up to 5, more.
 
 Scale: labels are learnt from at most TRAIN_DOCS rows of each class (a parameter), never from the held-out fold; scoring is
 one pass without a shuffle, a word's weight being looked up once per task.
@@ -18,14 +18,16 @@ label or doc_id teach nothing; without any labels every severity is 0; equal row
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import features
+from riskframe.llm.common import stored
 
 TRAIN_DOCS = {0: 8_000, 1: 6_000}
 GRADES = 4
@@ -48,32 +50,51 @@ def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, counts.astype(float)
 
 
-def screened(rows: list) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows with grades instead of labels, and only with telling features.
+def marked_words(text: str) -> list[int]:
+    """Buckets of a text's distinct words, which its grade is counted in."""
+    return sorted({word_features(w)[0] for w in set(text.split()) if w.strip(EDGES)})
 
-    A feature tells if MARKED_IN toxic texts of the shard or more have it and their share is TELLING times that of the
-    clean texts; the others would add noise of thousands of terms to every sum.  Features that no clean text has are
-    marked: their number grades a toxic text (a marked word has some marked prefixes as well).
+
+def class_counts(rows: DataFrame, column: str) -> DataFrame:
+    """Toxic and clean texts of the whole sample per bucket: at most 2^18 rows."""
+    return rows.select("y", F.explode(column).alias("i")).groupBy("i").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean"))
+
+
+def graded(sample: DataFrame) -> DataFrame:
+    """(y, at, value) with grades instead of labels, and only with telling features; counts are over the whole sample.
+
+    A feature tells if MARKED_IN toxic texts or more have it and their share is TELLING times that of the clean texts; the
+    others would add noise of thousands of terms to every sum.  A word marks if MARKED_IN toxic texts or more and no clean
+    one have it: the number of a toxic text's marking words is its grade.
     """
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for y, at, _ in rows:
-        seen[y].update(at.tolist())
-    size = [max(1, sum(y == k for y, _, _ in rows)) for k in (0, 1)]
-    telling = {i for i, n in seen[1].items() if n >= MARKED_IN and n / size[1] >= TELLING * (seen[0][i] + 0.5) / size[0]}
-    out = []
-    for y, at, value in rows:
-        keep = np.array([i in telling for i in at.tolist()], dtype=bool)
-        at, value = at[keep], value[keep]
-        marks = sum(v for i, v in zip(at.tolist(), value) if not seen[0][i])
-        out.append(((1 if marks <= 4 else 2 if marks <= 12 else 3) if y else 0, at, value))
-    return out
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t or "" for t in batch["text"]]
+            pairs = [text_features(t) for t in texts]
+            yield pd.DataFrame({"y": batch["y"], "at": [p[0] for p in pairs], "value": [p[1] for p in pairs], "words": [marked_words(t) for t in texts]})
+
+    rows = stored(sample.mapInPandas(take, "y int, at array<int>, value array<double>, words array<int>"), "toxicity-sample")
+    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    enough = F.col("toxic") >= MARKED_IN
+    share = F.col("toxic") / F.lit(max(1, size.get(1, 0))) >= TELLING * (F.col("clean") + 0.5) / F.lit(max(1, size.get(0, 0)))
+    telling = {r["i"] for r in class_counts(rows, "at").where(enough & share).select("i").collect()}
+    marking = {r["i"] for r in class_counts(rows, "words").where(enough & (F.col("clean") == 0)).select("i").collect()}
+
+    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [np.array([i in telling for i in at], dtype=bool) for at in batch["at"]]
+            marks = [sum(i in marking for i in words) for words in batch["words"]]
+            yield pd.DataFrame({"y": [(1 if n <= 2 else 2 if n <= 5 else 3) if y else 0 for y, n in zip(batch["y"], marks)],
+                                "at": [at[k] for at, k in zip(batch["at"], keep)], "value": [v[k] for v, k in zip(batch["value"], keep)]})
+
+    return rows.mapInPandas(grade, "y int, at array<int>, value array<double>")
 
 
 def train_shard(rows: list) -> dict[int, float]:
     size = 2**features.BITS
     model = features.Ftrl(size, rate=0.3, l1=0.1, l2=0.05)
     cuts, sigmoid = np.array([2.5, 3.5, 4.5]), lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
-    rows = screened(rows)
     for _ in range(EPOCHS):
         for y, at, value in rows:
             w = model.weights(at)
@@ -94,7 +115,7 @@ def train_shard(rows: list) -> dict[int, float]:
 def fit(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN_DOCS) -> np.ndarray:
     """2^18 weights and the three thresholds."""
     sample = features.labelled_sample(docs, labels, "toxic", train_docs)
-    return features.fit(features.featurised(sample, text_features), train_shard, 2**features.BITS + GRADES - 1)
+    return features.fit(graded(sample), train_shard, 2**features.BITS + GRADES - 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, severe: float = SEVERE) -> DataFrame:

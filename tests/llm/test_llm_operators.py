@@ -245,6 +245,34 @@ def test_trained_scores(spark):
     assert sum(r["predicted"] == r["quality"] for r in good) >= 0.93 * len(good)
     toxic = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == 0 for r in toxic if r["toxic"] == 0) >= 0.97 * sum(r["toxic"] == 0 for r in toxic)
+    assert sum(r["predicted"] == 1 for r in toxic if r["toxic"] == 1) >= 0.6 * sum(r["toxic"] == 1 for r in toxic)
     none = empty(spark)
     assert quality.score(none, quality.fit(none, labels.where("false"))).count() == 0
     assert {r["severity"] for r in toxicity.score(docs.limit(5), toxicity.fit(docs, labels.where("false"))).collect()} == {0.0}
+
+
+def test_toxic_grades_count_words_of_the_whole_sample(spark):
+    """Words of the toxic texts alone, in three texts or more; nulls, empty, repeated and very long texts are rows like others."""
+    bad = ["vile", "foul", "nasty", "grim", "rank", "rotten"]
+    rows = [(f"plain talk {' '.join(bad[:n])}", 1) for _ in range(3) for n in (1, 2, 3, 5, 6)]
+    rows += [("plain talk", 0)] * 40 + [(None, 0), ("", 0), ("rotten", 1), ("rotten", 1), ("once", 1), ("plain " * 50_000, 0)]
+    got = toxicity.graded(spark.createDataFrame(rows, "text string, y int").repartition(5)).collect()
+    assert len(got) == len(rows)
+    grades = [sum(r["y"] == g for r in got) for g in range(4)]
+    assert grades == [43, 2 * 3 + 3, 2 * 3, 3]
+    assert all(r["at"] for r in got if r["y"] > 1)
+
+
+def test_trained_scores_on_odd_rows(spark):
+    """Equal rows get equal scores, null and empty texts the same one; extra columns with clashing names change nothing."""
+    texts = [(i, ("good words here " if i % 2 else "awful vile junk ") * (1 + i % 5)) for i in range(60)]
+    odd = [(100, None), (101, ""), (102, " \n"), (103, "good words here " * 20_000), (104, "vile"), (104, "vile"), (None, "vile")]
+    docs = spark.createDataFrame([(i, t, 0.5, 1, "z") for i, t in texts + odd], "doc_id long, text string, score double, y int, _shard string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2, 7) for i, _ in texts] + [(5, 1, 0, 7), (None, 1, 1, 7), (100, None, None, 7)], "doc_id long, quality int, toxic int, text int")
+    for module, column in ((quality, "score"), (toxicity, "severity")):
+        out = module.score(docs, module.fit(docs, labels)).collect()
+        assert len(out) == len(texts) + len(odd)
+        by_id = {}
+        for r in out:
+            by_id.setdefault(r["doc_id"], set()).add(r[column])
+        assert by_id[100] == by_id[101] == by_id[102] and len(by_id[104]) == 1 and by_id[104] == by_id[None]
