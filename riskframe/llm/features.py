@@ -58,14 +58,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
 
 
 def fit(rows: DataFrame, train: Callable[[list], dict[int, float]], size: int) -> np.ndarray:
-    """Weights averaged over the shards; ``rows`` has (y, at array<int>, value array<double>), ``train`` fits one shard."""
+    """Weights averaged over the shards; ``rows`` has (y, at array<int>, value array<double>), ``train`` fits one shard.
+
+    A long ``key`` of the rows deals them to the shards, where equal features would bring too many together.
+    """
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         order = np.random.default_rng(11).permutation(len(rows))
         found = train([(rows["y"].iat[i], np.asarray(rows["at"].iat[i]), np.asarray(rows["value"].iat[i], dtype=float)) for i in order])
         return pd.DataFrame({"at": list(found), "w": list(found.values())}, columns=["at", "w"])
 
-    spread = rows.withColumn("_shard", F.pmod(F.xxhash64("at", "value"), F.lit(SHARDS)))
+    spread = rows.withColumn("_shard", F.pmod(F.xxhash64(*(["key"] if "key" in rows.columns else ["at", "value"])), F.lit(SHARDS)))
     sums = spread.groupBy("_shard").applyInPandas(shard, "at int, w double").groupBy("at").agg(F.sum("w").alias("w"))
     out = np.zeros(size)
     for r in sums.collect():  # at most one row per bucket

@@ -61,11 +61,12 @@ def class_counts(rows: DataFrame, column: str) -> DataFrame:
 
 
 def graded(sample: DataFrame) -> DataFrame:
-    """(y, at, value) with grades instead of labels, and only with telling features; counts are over the whole sample.
+    """(y, at, value, key) with grades instead of labels, and only with telling features; counts are over the whole sample.
 
     A feature tells if MARKED_IN toxic texts or more have it and their share is TELLING times that of the clean texts; the
     others would add noise of thousands of terms to every sum.  A word marks if MARKED_IN toxic texts or more and no clean
-    one have it: the number of a toxic text's marking words is its grade.
+    one have it: the number of a toxic text's marking words is its grade.  ``key`` is a hash of all features, as most clean
+    texts have no telling one.
     """
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +75,7 @@ def graded(sample: DataFrame) -> DataFrame:
             pairs = [text_features(t) for t in texts]
             yield pd.DataFrame({"y": batch["y"], "at": [p[0] for p in pairs], "value": [p[1] for p in pairs], "words": [marked_words(t) for t in texts]})
 
-    rows = stored(sample.mapInPandas(take, "y int, at array<int>, value array<double>, words array<int>"), "toxicity-sample")
+    rows = stored(sample.mapInPandas(take, "y int, at array<int>, value array<double>, words array<int>").withColumn("key", F.xxhash64("at", "value")), "toxicity-sample")
     size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     enough = F.col("toxic") >= MARKED_IN
     share = F.col("toxic") / F.lit(max(1, size.get(1, 0))) >= TELLING * (F.col("clean") + 0.5) / F.lit(max(1, size.get(0, 0)))
@@ -86,9 +87,9 @@ def graded(sample: DataFrame) -> DataFrame:
             keep = [np.array([i in telling for i in at], dtype=bool) for at in batch["at"]]
             marks = [sum(i in marking for i in words) for words in batch["words"]]
             yield pd.DataFrame({"y": [(1 if n <= 2 else 2 if n <= 5 else 3) if y else 0 for y, n in zip(batch["y"], marks)],
-                                "at": [at[k] for at, k in zip(batch["at"], keep)], "value": [v[k] for v, k in zip(batch["value"], keep)]})
+                                "at": [at[k] for at, k in zip(batch["at"], keep)], "value": [v[k] for v, k in zip(batch["value"], keep)], "key": batch["key"]})
 
-    return rows.mapInPandas(grade, "y int, at array<int>, value array<double>")
+    return rows.mapInPandas(grade, "y int, at array<int>, value array<double>, key long")
 
 
 def train_shard(rows: list) -> dict[int, float]:
