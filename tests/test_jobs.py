@@ -335,3 +335,18 @@ def test_boosting_stops_when_marked_rows_gain_no_more(spark):
     assert 0 < marked < 60
     unmarked = noise.withColumn(models.STOP_ROWS, F.lit(False))
     assert models.EarlyStopping(models.boosted("y", maxIter=4, maxDepth=2)).fit(unmarked).getNumTrees == 4
+
+
+def test_fits_side_by_side_keep_their_own_local_properties(spark):
+    """Spark notes the running query among them: shared ones made fits fail with "Cannot parse null string"."""
+    import time
+    seen = []
+
+    class Slow:
+        def fit(self, rows):
+            time.sleep(1)
+            seen.append(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+            return models.forest("y", 7, numTrees=2, maxDepth=1).fit(rows)
+
+    models.cross_validate(lambda **_: Slow(), [{"maxDepth": 1}, {"maxDepth": 2}], _signal(spark), "y", folds=2)
+    assert sorted(seen) == [f"fit-{i}-{f}" for i in range(2) for f in range(2)]
