@@ -105,3 +105,31 @@ def test_tuning_of_all_settings(spark):
     want = models.summarize_overview(single.withColumn("run_id", F.lit(4).cast("long"))).first()
     for name in ("mean_auc", "mean_log_loss", "pain_mean_f1", "pain_mean_brier"):
         assert rows[3][name] == pytest.approx(want[name], abs=2e-4)
+
+
+def test_targets_are_prepared_from_one_reading_of_the_table(spark):
+    """Whatever the number of targets; parts, fill values and scales are those of a target prepared alone."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    r = np.random.default_rng(5)
+    rows = [(i, *[None if v == 0 else float(v) for v in r.integers(0, 10, 4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, w0_a double, w0_b double, w1_a double, w1_b double")
+    targets = [(f"w{d}_{m}", f"w{d}", m, f"w{d}_{m}", "main", 5.0) for d in (0, 1) for m in "ab"]
+    dims = spark.createDataFrame(targets, "target string, day string, metric string, target_en string, target_tier string, positive_min double")
+    columns = ["w0_a", "w0_b", "w1_a", "w1_b"]
+    parts = runs.prepare_logistic(df.withColumn("w0_a", noted("w0_a")), dims, columns, ["w0", "w1"])
+    assert seen.value <= 2 * len(rows)
+    from riskframe.operators import splits
+    for part in parts[2:]:
+        own = splits.random_split(models.numeric_target(df, part["target"]), 0.1, 0.1, 42)
+        train, test = (own.where(F.col("split") == s) for s in ("train", "test"))
+        want = models.standardize_and_assemble(train, [test], ["w0_a", "w0_b"])
+        for got, whole in ((part["train"], want[0]), (part["test"], want[1])):
+            got, whole = (d.orderBy("row_id").select("row_id", "features").collect() for d in (got, whole))
+            assert [x["row_id"] for x in got] == [x["row_id"] for x in whole]
+            np.testing.assert_allclose([x["features"] for x in got], [x["features"] for x in whole], atol=1e-12)
