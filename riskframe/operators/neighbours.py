@@ -21,9 +21,11 @@ from riskframe.operators.augment import IS_GENERATED, PARENT, SPLIT
 from riskframe.operators.impute import column_medians
 from riskframe.operators.ordering import hash_order, hash_unit, running_totals
 from riskframe.operators.schema import META_PREFIX
+from riskframe.session import shared_folder
 
 MAX_PIVOTS = 128
 ROW_BLOCK, QUERY_BLOCK = 20_000, 5_000
+PAIRS = 65_536  # candidates ordered at a time
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -98,22 +100,30 @@ def _block_neighbours(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iter
     """The k nearest other rows of every query of one block, ties by id."""
     x, ids, labels = _matrix(rows["x"]), rows["id"].to_numpy(), rows["label"].to_numpy()
     q_all, q_ids = _matrix(queries["x"]), queries["id"].to_numpy()
+    by_id = np.argsort(ids)
+    first, last = (np.searchsorted(ids, q_ids, side, sorter=by_id) for side in ("left", "right"))
+    largest = np.abs(x).max()
     for start in range(0, len(q_all), 256):
         q = q_all[start:start + 256]
         d = _distances(q, x)
-        d[q_ids[start:start + 256][:, None] == ids[None, :]] = np.inf
+        for i in np.flatnonzero(last[start:start + 256] > first[start:start + 256]):
+            d[i, by_id[first[start + i]:last[start + i]]] = np.inf
         if len(ids) > k:
             limit = np.partition(d, k - 1, axis=1)[:, k - 1]
         else:
             limit = np.full(len(q), np.inf)
-        slack = 1e-6 * (1.0 + np.abs(x).max() + np.abs(q).max())
-        for i in range(len(q)):
-            # candidates by the fast formula, order by the exact one
-            near = np.flatnonzero(np.isfinite(d[i]) & (d[i] <= limit[i] + slack))
-            exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-            best = np.lexsort((ids[near], exact))[:k]
-            yield pd.DataFrame({"query_id": q_ids[start + i], "neighbour_id": ids[near][best],
-                                "distance": exact[best], "label": labels[near][best]})
+        slack = 1e-6 * (1.0 + largest + np.abs(q).max())
+        # candidates by the fast formula, order by the exact one; a bounded number of pairs at a time
+        near = np.isfinite(d) & (d <= (limit + slack)[:, None])
+        cuts = np.flatnonzero(np.diff(np.cumsum(near.sum(1)) // PAIRS)) + 1
+        for piece in np.split(np.arange(len(q)), cuts):
+            at, row = np.nonzero(near[piece])
+            exact = np.sqrt(((x[row] - q[piece[at]]) ** 2).sum(1))
+            order = np.lexsort((ids[row], exact, at))
+            at, row, exact = at[order], row[order], exact[order]
+            best = np.arange(len(at)) - np.searchsorted(at, at) < k
+            yield pd.DataFrame({"query_id": q_ids[start + piece[at[best]]], "neighbour_id": ids[row[best]],
+                                "distance": exact[best], "label": labels[row[best]]})
 
 
 def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "row_id", features: str = "features",
@@ -124,9 +134,10 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, id_col: str
     """
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(features).alias("x"),
                                 F.col(label).cast("int").alias("label"))
+    shared_folder(rows.sparkSession)
     rows, queries = pick(rows), pick(queries)
     pivots = choose_pivots(rows, rows.count(), "id", "x", seed)
-    celled = assign_cells(rows, pivots, "x")
+    celled = assign_cells(rows, pivots, "x").checkpoint()  # read for the sizes, the radii and the blocks
     stats = _cell_stats(celled, len(pivots), k + 1)
     visits = visited_cells(queries, pivots, stats, k + 1, "x")
     asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
@@ -176,7 +187,8 @@ def borderline_smote(train: DataFrame, k: int = 5, m: int = 10, seed: int = 42,
     """
     if kind not in ("borderline-1", "borderline-2"):
         raise ValueError(f"unknown kind: {kind}")
-    train = train.select("row_id", F.col("features").cast("array<double>").alias("features"), F.col(label).cast("int").alias("y"))
+    shared_folder(train.sparkSession)
+    train = train.select("row_id", F.col("features").cast("array<double>").alias("features"), F.col(label).cast("int").alias("y")).checkpoint()
     sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     if len(sizes) < 2:
         raise ValueError(f"only one class in the training part: {sizes}")
@@ -184,7 +196,8 @@ def borderline_smote(train: DataFrame, k: int = 5, m: int = 10, seed: int = 42,
     m = min(m, max(1, sum(sizes.values()) - 1))
     wanted = max(0, sizes[0] - sizes[1])
     minority = train.where(F.col("y") == 1)
-    risky = danger_rows(train, m, seed=seed).where("danger").select("row_id").join(train, "row_id")
+    # stored: the numbering, the counts and each further search read them, and none searches for them again
+    risky = danger_rows(train, m, seed=seed).where("danger").select("row_id").join(train, "row_id").checkpoint()
     numbered = running_totals(
         risky.withColumn("_h", hash_order(["row_id"], f"{seed}#danger")).withColumn("_b", F.substring("_h", 1, 4)),
         [], ["_b"], ["_h", "row_id"], {"_rn": F.lit(1)})

@@ -250,6 +250,30 @@ def test_smote_reaches_parity_on_segments(spark):
     assert len(second) == len(out) and (second.step[second.to_id.map(lambda i: y[i] == 0)] <= 0.5).all()
 
 
+def test_smote_reads_its_rows_once(spark):
+    """However many searches follow; the copies of one point don't meet as one large array."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    x, y, df = clustered(spark)
+    out = neighbours.borderline_smote(df.withColumn("features", F.array(noted(F.col("features")[0]), F.col("features")[1])), 5, 10, 1, "borderline-2")
+    assert out.count() == (y == 0).sum() - (y == 1).sum() and seen.value <= 2 * len(x)
+
+
+def test_block_neighbours_in_pieces(monkeypatch):
+    x = np.zeros((300, 3))
+    x[:, 0] = np.arange(300) // 100
+    rows = pd.DataFrame({"id": np.arange(300)[::-1], "x": list(x), "label": np.arange(300, dtype="int32") % 2})
+    whole = pd.concat(neighbours._block_neighbours(rows, rows, 4), ignore_index=True)
+    monkeypatch.setattr(neighbours, "PAIRS", 150)
+    pd.testing.assert_frame_equal(pd.concat(neighbours._block_neighbours(rows, rows, 4), ignore_index=True), whole)
+    assert whole[whole.query_id == 250].neighbour_id.tolist() == [200, 201, 202, 203] and (whole.distance == 0).all()
+
+
 # --- metrics and policies ----------------------------------------------------------------------------------
 
 
