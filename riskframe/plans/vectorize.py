@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import dates, scalars, text
 from riskframe.operators import impute, labels, schema
 from riskframe.presets import clinical as c
+from riskframe.session import shared_folder
 
 PUMP, BLOCK = "镇痛泵配方", "阻滞镇痛用药"
 
 
 def parse_columns(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Prune columns, parse dates and numbers: narrow work only."""
+    """Prune columns, deal the rows out evenly, as a small file is one task otherwise, parse dates and numbers."""
     df = schema.drop_columns(df, c.DROP_NAMES, c.DROP_CONTAINS)
     df = schema.prune_sparse_columns(df, 0.7, [*c.REQUIRED, row_id])
-    df = schema.drop_columns(df, c.DROP_AFTER_PRUNING)
+    df = schema.drop_columns(df, c.DROP_AFTER_PRUNING).repartition(row_id)
     parts = dates.date_parts(dates.parse_mixed_date(F.col("手术日期")))
     df = df.withColumns({"手术月份": parts["month"], "手术星期": parts["weekday"], "手术日期": parts["iso"]})
     return df.withColumns({
@@ -88,10 +91,14 @@ def add_block_features(df: DataFrame, exclusive: bool = False) -> tuple[DataFram
 def vectorize_table(df: DataFrame, min_count: int = 10, exclusive: bool = False, row_id: str = "row_id") -> DataFrame:
     """Feature table with the row id in front.
 
-    The aggregates that decide the columns run on the narrow part of the plan;
-    the one shuffle, for the forward fill, comes last and moves numbers only.
+    The parsed rows are stored once; the aggregates that decide the columns read
+    their few columns there, and the shuffle for the forward fill moves numbers only.
     """
-    df = fill_weight(parse_columns(df, row_id))
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
+    parsed = parse_columns(df, row_id)
+    parsed.write.parquet(folder)
+    df = fill_weight(spark.read.schema(parsed.schema).parquet(folder))
     out = [row_id]
     if "性别" in df.columns:
         df = df.withColumn("性别_num", text.parse_gender(F.col("性别")).cast("double"))

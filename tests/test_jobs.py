@@ -350,3 +350,19 @@ def test_fits_side_by_side_keep_their_own_local_properties(spark):
 
     models.cross_validate(lambda **_: Slow(), [{"maxDepth": 1}, {"maxDepth": 2}], _signal(spark), "y", folds=2)
     assert sorted(seen) == [f"fit-{i}-{f}" for i in range(2) for f in range(2)]
+
+
+def test_raw_rows_are_read_for_pruning_and_once_more(spark):
+    """The aggregates that decide the columns read the parsed rows."""
+    from riskframe.plans.outcomes import raw_surgeries
+    from riskframe.plans.vectorize import vectorize_table
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    raw = raw_surgeries(spark, "/root/testdata/sf0.001").limit(300).localCheckpoint()
+    assert vectorize_table(raw.withColumn("麻醉方法", noted("麻醉方法"))).select("麻醉方法_oh_腰麻").count() == 300
+    assert seen.value <= 2 * 300
