@@ -17,7 +17,7 @@ give an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,11 +25,20 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.anchors import covered, repeats
 from riskframe.llm.common import attach, stored, text_key, words_of
-from riskframe.llm.jaccard_join import WordHashes, rolling
+from riskframe.llm.jaccard_join import rolling
 
 WINDOW = 50
 GRAM = 16
 LAST = 2**63 - 1
+HASHED_WORDS = 500_000  # words whose hashes a task keeps
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HASHED_WORDS:
+            self.clear()
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return h
 
 
 class SuffixAutomaton:
