@@ -17,7 +17,7 @@ give an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,20 +25,11 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.anchors import covered, repeats
 from riskframe.llm.common import attach, stored, text_key, words_of
-from riskframe.llm.jaccard_join import rolling
+from riskframe.llm.jaccard_join import rolling, word_hashes
 
 WINDOW = 50
 GRAM = 16
 LAST = 2**63 - 1
-HASHED_WORDS = 500_000  # words whose hashes a task keeps
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HASHED_WORDS:
-            self.clear()
-        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return h
 
 
 class SuffixAutomaton:
@@ -117,16 +108,9 @@ def earlier_windows(rows: list) -> Iterator[tuple[bytes, int, int, int]]:
                 begin = i
 
 
-def word_grams():
-    hashes = WordHashes()
-
-    def make(text: bytes) -> np.ndarray:
-        words = text.split()
-        if len(words) < WINDOW:
-            return np.zeros(0, dtype=np.uint64)
-        return rolling(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), GRAM)
-
-    return make
+def word_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    values, starts = word_hashes(b" " + b" ".join(texts) + b" " * 8)
+    return rolling(values, GRAM), np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
 
 
 def cut_words(text: bytes):
@@ -142,7 +126,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     base = stored(base, "base")
     first = base.groupBy("key").agg(F.min("owner").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     texts = docs.select(text_key(F.col("text")).alias("key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), owner.alias("owner"))
-    held, spans = repeats(texts, word_grams, WINDOW - GRAM + 1, cut_words, earlier_windows, earlier=True)
+    held, spans = repeats(texts, word_grams, WINDOW - GRAM + 1, WINDOW, cut_words, earlier_windows, earlier=True)
 
     def remove(batches: Iterator) -> Iterator:
         import pyarrow as pa
