@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BITS = 18
 SHARDS = 4
 EPOCHS = 4
+PASSED_ROWS = 500  # whole rows that are sent back together
 
 
 class Ftrl:
@@ -109,8 +110,9 @@ def passing(docs: DataFrame, scorer: Callable[[], Callable[[str], tuple[float, .
 
         score = scorer()
         for batch in batches:
-            text = batch.column(at)
-            yield batch.filter(pa.array([score(t.as_py() or "")[0] >= least for t in text], pa.bool_()))
+            for i in range(0, batch.num_rows, PASSED_ROWS):
+                part = batch.slice(i, PASSED_ROWS)
+                yield part.filter(pa.array([score(t.as_py() or "")[0] >= least for t in part.column(at)], pa.bool_()))
 
     at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)

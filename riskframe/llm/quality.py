@@ -3,7 +3,7 @@
 Features are the words, pairs of neighbouring words, the words' forms (runs of capitals, small letters and digits become one sign each, other signs stay)
 and pairs of neighbouring forms (a word after itself is a pair of its own kind), hashed into 2^18 buckets; a feature's value is its share of the text's words, so length
 does not matter.  The score is a sparse dot product: a text's score is the sum of its words' and pairs' weights over its
-number of words, and a word's weight is looked up once per task.
+number of words; a task keeps the weights of KEPT_WORDS words at most.
 
 Scale: labels are learnt from at most TRAIN_DOCS rows (a parameter), chosen by hash; the model has at most 2^18 weights.
 Scoring is one pass over whole texts without a shuffle.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from sys import intern
 from zlib import crc32
 
 import numpy as np
@@ -26,12 +27,16 @@ from riskframe.llm import features
 
 TRAIN_DOCS = 12_000
 THRESHOLD = 0.7
+KEPT_WORDS = 100_000  # words that a task remembers, some 250 bytes each
 SCALE = 10.0  # of the shares, so that the penalty is small beside them
 FORMS = [(re.compile(r"[^\W\d_]+"), lambda m: ("A" if m[0].isupper() and len(m[0]) > 1 else "a")), (re.compile(r"\d+"), lambda m: "0"),
          (re.compile(r"([^\w\s])\1+"), lambda m: m[1])]
+WORD, PAIR = crc32(b"w"), crc32(b"n")  # checksums so far of a word and of the first one of a pair
 
 
 def form(word: str) -> str:
+    if word.isalpha():  # one run of letters
+        return "A" if word.isupper() and len(word) > 1 else "a"
     for pattern, to in FORMS:
         word = pattern.sub(to, word)
     return word[:12]
@@ -91,10 +96,10 @@ def _scorer(weights: np.ndarray):
         pairs: dict[str, float] = {}
 
         def one(word: str) -> tuple[float, str, int, bytes]:
-            f = form(word)
-            if len(single) >= 500_000:
+            f, raw = intern(form(word)), word.encode("utf-8", "replace")
+            if len(single) >= KEPT_WORDS:
                 single.clear()
-            single[word] = out = (float(packed[bucket("w", word)] + packed[bucket("f", f)]), f, *pair_ends(word))
+            single[word] = out = (float(packed[crc32(raw, WORD) >> shift] + packed[bucket("f", f)]), f, crc32(raw, PAIR), b" " + raw)
             return out
 
         def two(pair: str) -> float:
