@@ -108,7 +108,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     edge: Column = lambda k: F.floor(k * F.lit(width))
     taken = F.least("_q", edge(F.col("block") + 1)) - F.greatest("_p", edge(F.col("block")))
     pieces = pieces.withColumn("words", taken).where("words > 0").select("src", "start", "copy", "block", "words")
-    mixed = schedule(sources, bits).join(pieces, ["src", "block"])
+    # the schedule comes from a few rows, so Spark takes it for small and would broadcast its 2^bits slots
+    mixed = schedule(sources, bits).hint("merge").join(pieces, ["src", "block"])
     return placed, mixed.select("slot", "src", "start", "copy", "words")
 
 
