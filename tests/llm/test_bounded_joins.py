@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.llm import common
+from riskframe.llm import common, jaccard_join
 
 
 @pytest.fixture
@@ -44,3 +44,26 @@ def test_few_keys_need_no_shuffle(tables):
     rows, dimension = tables
     few = common.stored(dimension.where("k < 50"), "few")
     assert joins(common.attach(rows, few, ["k"])) == joins(common.only(rows, few.select("k"), "k")) == {"BroadcastHashJoin"}
+
+
+@pytest.mark.parametrize(("limit", "inside"), [("10485760b", 2**20), ("10MB", 2**20), ("256k", 2**18), ("-1", -1), ("0", 0)])
+def test_spark_guesses_within_a_bound(spark, limit, inside):
+    name = common.GUESSES[0]
+    spark.conf.set(name, limit)
+    try:
+        with common.small_broadcasts(spark):
+            assert int(spark.conf.get(name).rstrip("b")) == inside
+        assert spark.conf.get(name) == limit and spark.conf.get(common.GUESSES[1], None) is None
+    finally:
+        spark.conf.unset(name)
+
+
+def test_near_duplicates_run_within_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name, real=jaccard_join.stored: seen.append(spark.conf.get(common.GUESSES[0])) or real(df, name))
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in (1, 1, 2)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = jaccard_join.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(0, 0), (1, 0), (2, 2)]
+    assert {int(x.rstrip("b")) for x in seen} == {common.BROADCAST_BYTES}
+    assert spark.conf.get(common.GUESSES[0]) == "10485760b"
