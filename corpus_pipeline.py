@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import decontaminate, jaccard_join, mixing, quality, sharding
-from riskframe.llm.common import BROADCAST_ROWS, attach, n_words, stored, table
+from riskframe.llm.common import attach, bounded, n_words, stored, table
 
 
 def _fresh(docs: DataFrame, *names: str) -> list[str]:
@@ -28,8 +28,7 @@ def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFr
     """Documents that are not (``left_semi``: that are) among ``gone`` (doc_id, _h)."""
     key, digest = _fresh(docs, "id", "h")
     gone = stored(gone.select(F.col("doc_id").alias(key), F.col("_h").alias(digest)).distinct(), "gone")
-    right = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(right, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)), how)
+    return docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)), how)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

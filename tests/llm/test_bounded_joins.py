@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskframe.llm import common, jaccard_join
 
 
@@ -67,3 +68,11 @@ def test_near_duplicates_run_within_the_bound(spark, monkeypatch):
     assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(0, 0), (1, 0), (2, 2)]
     assert {int(x.rstrip("b")) for x in seen} == {common.BROADCAST_BYTES}
     assert spark.conf.get(common.GUESSES[0]) == "10485760b"
+
+
+@pytest.mark.parametrize(("how", "left"), [("left_anti", 2000), ("left_semi", 1000)])
+def test_many_dropped_documents_are_shuffled(tables, spark, how, left):
+    docs = common.stored(spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text"), "docs")
+    gone = docs.where("doc_id % 3 = 0").select("doc_id", F.xxhash64("text").alias("_h"))
+    out = corpus_pipeline._without(docs, gone, how)
+    assert joins(out) == {"SortMergeJoin"} and out.count() == left
